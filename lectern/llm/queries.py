@@ -62,10 +62,10 @@ queued AS (
          CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 copies AS (
-  SELECT q.*, c.copy, CAST(source_size * c.copy + upto AS DOUBLE) / nullif(target, 0) AS at
+  SELECT q.*, c.copy, CAST(source_size * c.copy + upto AS DOUBLE) / nullif(target, 0) AS fin
   FROM queued q CROSS JOIN (VALUES (0), (1), (2)) AS c(copy) WHERE size > 0),
 running AS (
-  SELECT doc_id, size, sum(size) OVER (ORDER BY at, doc_id, copy ROWS UNBOUNDED PRECEDING) AS used,
+  SELECT doc_id, size, sum(size) OVER (ORDER BY fin, doc_id, copy ROWS UNBOUNDED PRECEDING) AS used,
          (SELECT sum(size) FROM sized) AS budget
   FROM copies),
 takes AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM running WHERE used <= budget GROUP BY doc_id)
