@@ -5,16 +5,23 @@ Each query runs its operator with production parameters and derives the contract
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import classifier, mixing, rules
+from lectern.llm import bpe, classifier, mixing, rules, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.digests(ids, path, ["doc_id"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = rules.learn(docs, _table(spark, sf_dir, "labels"))
@@ -26,14 +33,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(files)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_token_files": op8_token_files,
     "op10_source_mixing": op10_source_mixing,
 }
 
