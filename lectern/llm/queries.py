@@ -9,19 +9,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classifier, minhash, mixing, rules, token_files
+from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, rules, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
     return bpe.digests(ids, path, ["doc_id"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines_gone", "n_words_gone", "aligned_with", "text")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     learned = rules.learn(docs, _table(spark, sf_dir, "labels"))
@@ -48,7 +57,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash": op7_minhash,
