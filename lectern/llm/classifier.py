@@ -70,14 +70,14 @@ def _scaling(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0] / wide), float(w[1] - w[0] * mid / wide)) if w[0] > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL) -> Discriminant:
+def fit(rows: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL) -> Discriminant:
     """The discriminant of all labelled rows outside the held-out fold.
 
-    Counts, sums and products are one aggregate over those rows. A class without rows takes the
+    rows: doc_id and the statistics of stats.shape(). Counts, sums and products are one aggregate
+    over the labelled ones. A class without rows takes the
     other's moments, so that without labels every score is one half.
     """
-    known = stats.labelled(docs, labels, "quality")
-    known = stats.shape(known, ["doc_id", "label"]).select("doc_id", F.col("label").cast("int").alias("label"), F.array(*features()).alias("x"))
+    known = stats.labelled(rows, labels, "quality").select("doc_id", "label", F.array(*features()).alias("x"))
     known = written(known, "classifier-rows")
     k = len(FEATURES)
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
@@ -113,12 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_dia
     return model
 
 
-def scored(docs: DataFrame, model: Discriminant, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id) with held_out, score and predicted for each row of docs.
+def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """rows, which have doc_id and the statistics of stats.shape(), with held_out, score and predicted.
 
     Only the text is an input of the score; a null text is empty and gets the score of the empty
     text. Equal texts get equal scores, an empty table gives an empty result.
     """
-    keep = keep or ["doc_id"]
-    out = stats.shape(docs, keep).withColumn("score", model.score())
-    return out.select(*keep, stats.held_out().alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
+    out = rows.withColumn("held_out", stats.held_out()).withColumn("score", model.score())
+    return out.withColumn("predicted", F.when(F.col("score") >= GOOD, 1).otherwise(0))

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, rules, token_files
+from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, rules, stats, token_files
+from lectern.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +33,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    learned = rules.learn(docs, _table(spark, sf_dir, "labels"))
-    return rules.judged(docs, learned).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = written(stats.shape(_table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    out = rules.judged(rows, rules.learn(rows, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *stats.BASE, "base_failed", "kept")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return classifier.scored(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
+    rows = written(stats.shape(_table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
+    out = classifier.scored(rows, classifier.fit(rows, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,18 +115,18 @@ def _prune(rows: DataFrame, rule: list[Condition]) -> tuple[list[Condition], int
     return rule[: keep + 1], *pairs[keep]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
-    """A decision list for labels.quality from at most `sample` labelled rows outside the held-out fold.
+def learn(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
+    """A decision list for labels.quality from at most about `sample` labelled rows outside the held-out fold.
 
-    Rows that the base rules reject are left to those. Without labels, or without bad or good
+    rows: doc_id and the statistics of stats.shape(). Rows that the base rules reject are left to those. Without labels, or without bad or good
     ones, the list is empty and every text is good.
     """
     n = labels.filter(~stats.held_out()).count()
     if not n:
         return DecisionList()
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("rules")), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000
-    known = stats.labelled(docs, labels.filter(share), "quality").withColumn("bad", F.col("label") == 0)
-    known = written(stats.shape(known, ["doc_id", "bad"]).filter(~stats.base_failed()), "rules-sample")
+    known = stats.labelled(rows.filter(~stats.base_failed()), labels.filter(share), "quality")
+    known = written(known.withColumn("bad", F.col("label") == 0), "rules-sample")
     points = [i / BINS for i in range(1, BINS)] + [0.01, 0.99]
     cuts = known.agg(*(F.percentile_approx(s, points, 10_000).alias(s) for s in stats.SHAPE)).first()
     if cuts[0] is None:
@@ -151,11 +151,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionL
     return learned
 
 
-def judged(docs: DataFrame, learned: DecisionList, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id), BASE, base_failed and kept for each row of docs.
+def judged(rows: DataFrame, learned: DecisionList) -> DataFrame:
+    """rows, which have the statistics of stats.shape(), with base_failed and kept.
 
     A null or empty text has no words and fails the base rules. Equal rows get equal results,
-    an empty table an empty one; columns of docs other than `keep` are not read.
+    an empty table an empty one; other columns pass through.
     """
-    out = stats.shape(docs, keep or ["doc_id"]).withColumn("base_failed", stats.base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & learned.good())
+    return rows.withColumn("base_failed", stats.base_failed()).withColumn("kept", ~stats.base_failed() & learned.good())

@@ -115,9 +115,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, training_only: bool = True) -> DataFrame:
-    """docs with 0/1 in `label`, null labels dropped; of several labels of a document the lowest counts."""
-    one = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
-    if training_only:
-        one = one.filter(~held_out())
-    return docs.select("doc_id", "text").join(one, "doc_id")
+def labelled(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """rows (doc_id and statistics) outside the held-out fold with 0/1 in `label`; of several labels of a document the lowest counts.
+
+    Statistics are joined, not texts, so what is shuffled is small whatever the texts are.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    return rows.join(known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")), "doc_id")
