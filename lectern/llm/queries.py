@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, rules, stats, token_files
+from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, pii, rules, stats, token_files
 from lectern.llm.common import written
 
 
@@ -53,6 +53,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash": op7_minhash,
     "op8_token_files": op8_token_files,
+    "op9_personal_data": op9_personal_data,
     "op10_source_mixing": op10_source_mixing,
 }
 
