@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classifier, embeddings, line_dedup, minhash, mixing, pii, rules, stats, token_files
+from lectern.llm import bpe, classifier, embeddings, html_main, line_dedup, minhash, mixing, pii, rules, stats, token_files
 from lectern.llm.common import written
 
 
@@ -32,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines_gone", "n_words_gone", "aligned_with", "text")
 
 
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(stats.shape(_table(spark, sf_dir, "documents"), ["doc_id"]), "statistics")
     out = rules.judged(rows, rules.learn(rows, _table(spark, sf_dir, "labels")))
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_html_main": op4_html_main,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash": op7_minhash,
