@@ -1,8 +1,8 @@
-"""The library's queries over the driver's tables and their SQL for DuckDB."""
+"""The library's queries over the driver's tables and their SQL for DuckDB, gathered from its modules."""
 
 from __future__ import annotations
 
-from lectern.session import table
+from lectern import queries_html, queries_text
 
-QUERIES: dict = {"plan_signature_report": lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id")}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = queries_html.QUERIES | queries_text.QUERIES
+ORACLE_SQL: dict[str, str] = queries_html.ORACLE_SQL | queries_text.ORACLE_SQL
