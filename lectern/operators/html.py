@@ -150,7 +150,7 @@ def ancestor_reason(anc: Column, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, di
 
 
 def partition(pages: DataFrame, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, displays: dict[str, str] | None = None) -> DataFrame:
-    """The text nodes of pages: page_id, ord, text, chars, reason (null: kept), owner (ord of the block), parent, signature.
+    """The text nodes of pages: page_id, ord, text, chars, reason (null: kept), owner (ord of the block), parent, grandparent, parent_signature, signature.
 
     A node without a reason of its elements shares the verdict on the text of its whole inline
     element, so `<a><span>C</span><span>HAPTER I</span></a>` is judged as CHAPTER I.
@@ -170,17 +170,17 @@ def partition(pages: DataFrame, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, dis
     own = T.skip_reason(T.normalize(F.col("text")))
     reason = F.coalesce("of_elements", F.when(F.col("root").isNull(), own).otherwise(F.col("of_subtree")))
     block = F.get("anc", "at")
-    return out.select("page_id", "ord", "text", "chars", reason.alias("reason"), block["ord"].alias("owner"), F.get("anc", F.col("at") - 1)["ord"].alias("parent"), signature(block).alias("signature"))
+    return out.select("page_id", "ord", "text", "chars", reason.alias("reason"), block["ord"].alias("owner"), F.get("anc", F.col("at") - 1)["ord"].alias("parent"), F.get("anc", F.col("at") - 2)["ord"].alias("grandparent"), signature(F.get("anc", F.col("at") - 1)).alias("parent_signature"), signature(block).alias("signature"))
 
 
 def units(parts: DataFrame) -> DataFrame:
-    """page_id, unit_ord (the first kept node), signature, text, chars, owner, parent of each unit of a partition()."""
+    """page_id, unit_ord (the first kept node), signature, text, chars, owner, parent, grandparent, parent_signature of each unit of a partition()."""
     kept = F.col("reason").isNull()
     edge = F.col("text") != T.strip(F.col("text"))
     piece = F.when(kept | (F.col("chars") == 0), F.col("text")).when(edge, " ").otherwise("")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("piece")))), lambda x: x["piece"]), "")
-    out = parts.groupBy("page_id", "owner", "parent", "signature").agg(F.min(F.when(kept, F.col("ord"))).alias("unit_ord"), T.normalize(whole).alias("text"), F.sum(F.when(kept, F.col("chars")).otherwise(0)).alias("chars"))
-    return out.filter("unit_ord is not null").select("page_id", "unit_ord", "signature", "text", "chars", "owner", "parent")
+    out = parts.groupBy("page_id", "owner", "parent", "grandparent", "parent_signature", "signature").agg(F.min(F.when(kept, F.col("ord"))).alias("unit_ord"), T.normalize(whole).alias("text"), F.sum(F.when(kept, F.col("chars")).otherwise(0)).alias("chars"))
+    return out.filter("unit_ord is not null").select("page_id", "unit_ord", "signature", "text", "chars", "owner", "parent", "grandparent", "parent_signature")
 
 
 def skips(parts: DataFrame) -> DataFrame:

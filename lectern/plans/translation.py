@@ -76,11 +76,11 @@ def candidates(units: DataFrame, total_chars: Column | int) -> DataFrame:
 
 
 def report(rows: DataFrame, top: int = 25) -> DataFrame:
-    """nth, signature, units, chars of the largest signatures, and one row (nth null) for the rest together."""
+    """nth, signature, units, chars of the largest signatures, and one row (nth 0) for the rest together."""
     order = Window.orderBy(F.col("chars").desc(), "first")  # a row a signature
     ranked = rows.withColumn("nth", F.row_number().over(order))
     rest = ranked.filter(F.col("nth") > top).agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum("chars").alias("chars")).filter("n > 0")
-    return ranked.filter(F.col("nth") <= top).select("nth", "signature", "units", "chars").unionByName(rest.select(F.lit(None).cast("int").alias("nth"), F.concat(F.lit("... "), F.col("n").cast("string"), F.lit(" more")).alias("signature"), "units", "chars"))
+    return ranked.filter(F.col("nth") <= top).select("nth", "signature", "units", "chars").unionByName(rest.select(F.lit(0).alias("nth"), F.concat(F.lit("... "), F.col("n").cast("string"), F.lit(" more")).alias("signature"), "units", "chars"))
 
 
 def plan_json(rows: DataFrame, parts: DataFrame, skipped: DataFrame, book: bytes, excluded=K.EXCLUDED_TAGS, group_size: int = 8) -> str:

@@ -217,7 +217,7 @@ WHERE split_part(rows.signature, '.', 1) NOT IN ('h1', 'h2', 'h3', 'h4', 'h5', '
         "plan_top_rows_tail": _PARTS
         + """, ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY chars DESC, first) AS INTEGER) AS nth FROM rows)
 SELECT nth, signature, units, chars FROM ranked WHERE nth <= 3
-UNION ALL SELECT NULL, '... ' || count(*) || ' more', CAST(sum(units) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM ranked WHERE nth > 3 HAVING count(*) > 0""",
+UNION ALL SELECT CAST(0 AS INTEGER), '... ' || count(*) || ' more', CAST(sum(units) AS BIGINT), CAST(sum(chars) AS BIGINT) FROM ranked WHERE nth > 3 HAVING count(*) > 0""",
         "tag_mode_leaf_p": _TOKENS
         + """, chosen AS (SELECT page_id, ord, tag FROM tokens WHERE kind = 'start' AND tag IN ('p', 'li')),
 holders AS (SELECT page_id, unnest(list_transform(anc, lambda a: a.ord)) AS ord FROM tokens WHERE kind = 'start' AND tag IN ('p', 'li')),
