@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern import queries_html, queries_text
+from lectern import queries_books, queries_html, queries_text
 
-QUERIES: dict = queries_html.QUERIES | queries_text.QUERIES
-ORACLE_SQL: dict[str, str] = queries_html.ORACLE_SQL | queries_text.ORACLE_SQL
+QUERIES: dict = queries_html.QUERIES | queries_text.QUERIES | queries_books.QUERIES
+ORACLE_SQL: dict[str, str] = queries_html.ORACLE_SQL | queries_text.ORACLE_SQL | queries_books.ORACLE_SQL
