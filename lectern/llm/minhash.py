@@ -8,10 +8,13 @@
 3. The estimate of the Jaccard similarity from the sketch of the union drops pairs.
 4. Exact Jaccard similarity of the full sets verifies the others.
 
-What is asked for are the classes of linked documents, so pairs are tried in two passes: each
-document with the one that its lists name most, which joins large groups by as many pairs as
-they have members; then every pair that still lies in different components. No pair within
-a group that is already joined is made, and no pair across groups is left out.
+What is asked for are the classes of linked documents, so pairs are tried in two passes. First each
+document with the one that its lists name most, where a list names its most typical document, the
+one whose hashes are the most widespread: a text that others were copied from has no hash of its
+own. This joins large groups by as many pairs as they have members. Then every pair that shares a
+list and still lies in different components, but for those that a count rules out: a document has
+no more in common with any of another component than its shingles that occur in other components
+at all, which bounds the size of whatever it can be linked with.
 """
 
 from __future__ import annotations
@@ -33,8 +36,6 @@ SKETCH, INDEX, SHARED = 64, 32, 13
 PERCENT, LEAST_ESTIMATE = 80, 52
 #: Ids that are broadcast to pick out texts at most; with more, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Star passes at most before all remaining pairs are made, and pairs a posting that end them.
-STAR_PASSES, FEW_PAIRS = 4, 2
 
 
 class _Words(dict):
@@ -120,6 +121,15 @@ class _Search:
         of = of.withColumn("prefix", F.size("values") - least + 1).filter("prefix > 0")
         return of.select("id", "prefix", F.posexplode("values").alias("nth", "v")).select("id", "v.value", "v.df", (F.col("nth") < F.col("prefix")).alias("in_prefix"))
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, set: the full sets of the classes in ids."""
+        ids = written(ids, "near-ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        out = written(texts.mapInArrow(_full(self.k), "id long, set array<bigint>"), "near-sets")
+        forget(ids)
+        return out
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose sets are similar enough."""
         c = self.classes
@@ -128,48 +138,50 @@ class _Search:
         near = near.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b")
         near = near.join(a, "a").join(b, "b").filter(_estimate(F.col("s_a"), F.col("s_b")) >= LEAST_ESTIMATE).select("a", "b", "n_a", "n_b")
         near = written(near, "near-pairs")
-        ids = written(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "near-ids")
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        sets = written(texts.mapInArrow(_full(self.k), "id long, set array<bigint>"), "near-sets")
+        sets = self.sets(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
         both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("both"))
         found = written(both.filter(100 * F.col("both") >= self.percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "near-links")
-        for df in (near, ids, sets):
+        for df in (near, sets):
             forget(df)
         return found
 
+    def typical(self, postings: DataFrame) -> DataFrame:
+        """Pairs (a, b): each class with the one that its lists name most."""
+        spread = postings.groupBy("id").agg(F.sum("df").alias("spread"))
+        rows = postings.select("value", "id").join(spread, "id")
+        named = rows.groupBy("value").agg(F.max(F.struct("spread", -F.col("id")))["col2"].alias("minus"))
+        votes = rows.join(named, "value").select("id", (-F.col("minus")).alias("hub")).filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("id").agg(F.min(F.struct(-F.col("votes"), "hub"))["hub"].alias("hub"))
+        return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+    def across(self, postings: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share a list within the prefixes, lie in different components, and that no count rules out."""
+        lists = postings.filter("in_prefix").select("value", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
+        lists = written(lists.join(mixed, "value"), "open-lists")
+        sets = self.sets(lists.select("id").distinct())
+        shingles_of = sets.select("id", F.explode("set").alias("s")).join(lists.select("id", "component").distinct(), "id")
+        shared = shingles_of.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("s")
+        common = shingles_of.join(shared, "s").groupBy("id").agg(F.count("*").alias("common"))
+        size = common.join(self.classes.select("id", "n"), "id").withColumn("largest", F.floor(F.col("common") * (100 + self.percent) / self.percent) - F.col("n"))
+        size = size.filter(100 * F.col("largest") >= self.percent * F.col("n")).select("id", "n", "largest")
+        lists = lists.join(size, "id")
+        x, y = (lists.select("value", F.col("id").alias(i), F.col("component").alias(f"c_{i}"), F.col("n").alias(f"n_{i}"), F.col("largest").alias(f"most_{i}")) for i in "ab")
+        can = "a < b and c_a != c_b and n_a <= most_b and n_b <= most_a"
+        pairs = written(x.join(y, "value").filter(can).select("a", "b").distinct(), "open-pairs")
+        for df in (lists, sets):
+            forget(df)
+        return pairs
+
 
 def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """id, component of the classes (id, n, sketch) that are linked to another."""
     search = _Search(docs, classes, k, percent)
     postings = written(search.postings(), "postings")
-    first = postings.groupBy("value").agg(F.min("id").alias("hub"))
-    votes = postings.join(first, "value").filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id").agg(F.min(F.struct(-F.col("votes"), "hub"))["hub"].alias("hub"))
-    links = search.links(best.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    prefix = postings.filter("in_prefix").select("value", "id")
-    size = prefix.count()
-    for n in range(STAR_PASSES + 1):
-        known = components(links)
-        lists = prefix.join(known, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-        mixed = lists.groupBy("value", "component").agg(F.count("*").alias("n"))
-        mixed = mixed.groupBy("value").agg(F.count("*").alias("groups"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).filter("groups > 1")
-        lists = written(lists.join(mixed.select("value"), "value"), "open-lists")
-        todo = mixed.agg(F.sum("pairs")).first()[0]
-        if not todo:
-            return known
-        x, y = (lists.select("value", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "ab")
-        if n < STAR_PASSES and todo > FEW_PAIRS * size:
-            hub = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "component", F.lit(n)), "component", "id")).alias("h")).select("value", F.col("h.id").alias("a"), F.col("h.component").alias("c_a"))
-            pairs = hub.join(y, "value").filter("c_a != c_b").select("a", "b").distinct()
-        else:
-            pairs = x.join(y, "value").filter("a < b and c_a != c_b").select("a", "b").distinct()
-        more = search.links(pairs)
-        links = links.unionByName(more)
-        if not (n < STAR_PASSES and todo > FEW_PAIRS * size):
-            return components(links)
-    raise AssertionError("unreachable: the last pass makes all pairs")
+    links = search.links(search.typical(postings))
+    pairs = search.across(postings, components(links))
+    return components(links.unionByName(search.links(pairs)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
