@@ -63,7 +63,10 @@ class Codes:
 def _unit(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision of those that have a direction, and which those are."""
     rows = [None if v is None or any(c is None for c in v) else np.asarray(v, dtype=np.float64) for v in values.to_pylist()]
-    norm = np.array([np.linalg.norm(r) if r is not None and len(r) else 0.0 for r in rows])
+    # scaled first, so that no square overflows or vanishes
+    top = [np.abs(r).max() if r is not None and len(r) else 0.0 for r in rows]
+    rows = [r / t if r is not None and np.isfinite(t) and t > 0 else None for r, t in zip(rows, top)]
+    norm = np.array([np.linalg.norm(r) if r is not None else 0.0 for r in rows])
     good = np.isfinite(norm) & (norm > 0)
     return [r / n for r, n, g in zip(rows, norm, good) if g], good
 

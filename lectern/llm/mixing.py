@@ -59,7 +59,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     size = n_words(F.col("text")) if size is None else size
-    key, part, upto = (fresh(docs, x) for x in ("mix_key", "mix_part", "mix_upto"))
+    key, part, upto, p_source, p_part, base = (fresh(docs, x) for x in ("mix_key", "mix_part", "mix_upto", "mix_of_source", "mix_of_part", "mix_base"))
 
     def keyed(df: DataFrame) -> DataFrame:
         shuffle = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -69,16 +69,16 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, max_repeat
     per_part = small.groupBy("source", part).agg(F.sum("size").alias("part_size"))
     in_source = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     goal = targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    per_part = per_part.withColumn("base", F.coalesce(F.sum("part_size").over(in_source), F.lit(0)))
-    per_part = per_part.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(F.col("p.source").alias("p_source"), F.col(part).alias("p_part"), "base", "source_size", "target")
+    per_part = per_part.withColumn(base, F.coalesce(F.sum("part_size").over(in_source), F.lit(0)))
+    per_part = per_part.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(F.col("p.source").alias(p_source), F.col(part).alias(p_part), base, "source_size", "target")
     per_part = written(per_part, "mix-parts")  # 4,096 rows a source at most
 
     def queued(df: DataFrame) -> DataFrame:
         """df with upto: the words of its source up to and including each row."""
         within = Window.partitionBy("source", part).orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn(upto, F.sum("size").over(within))
-        df = df.join(per_part, F.col("source").eqNullSafe(F.col("p_source")) & (F.col(part) == F.col("p_part")))
-        return df.withColumn(upto, F.col(upto) + F.col("base")).drop("p_source", "p_part", "base")
+        df = df.join(per_part, F.col("source").eqNullSafe(F.col(p_source)) & (F.col(part) == F.col(p_part)))
+        return df.withColumn(upto, F.col(upto) + F.col(base)).drop(p_source, p_part, base)
 
     def finish(copy: Column) -> Column:
         return F.try_divide(F.col("source_size") * copy + F.col(upto), F.col("target"))
