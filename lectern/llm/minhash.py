@@ -34,6 +34,8 @@ from lectern.llm.components import components
 SKETCH, INDEX, SHARED = 64, 32, 13
 #: Links by percent of the union; the estimate, in percent, below which a pair is dropped (five and a half deviations).
 PERCENT, LEAST_ESTIMATE = 80, 52
+#: Rounds of counting what documents can share with other components; each leaves fewer of them.
+COUNTS = 3
 #: Ids that are broadcast to pick out texts at most; with more, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -161,15 +163,22 @@ class _Search:
         mixed = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
         lists = written(lists.join(mixed, "value"), "open-lists")
         sets = self.sets(lists.select("id").distinct())
-        shingles_of = sets.select("id", F.explode("set").alias("s")).join(lists.select("id", "component").distinct(), "id")
-        shared = shingles_of.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("s")
-        common = shingles_of.join(shared, "s").groupBy("id").agg(F.count("*").alias("common"))
-        size = common.join(self.classes.select("id", "n"), "id").withColumn("largest", F.floor(F.col("common") * (100 + self.percent) / self.percent) - F.col("n"))
-        size = size.filter(100 * F.col("largest") >= self.percent * F.col("n")).select("id", "n", "largest")
-        lists = lists.join(size, "id")
-        x, y = (lists.select("value", F.col("id").alias(i), F.col("component").alias(f"c_{i}"), F.col("n").alias(f"n_{i}"), F.col("largest").alias(f"most_{i}")) for i in "ab")
-        can = "a < b and c_a != c_b and n_a <= most_b and n_b <= most_a"
-        pairs = written(x.join(y, "value").filter(can).select("a", "b").distinct(), "open-pairs")
+        left = lists.groupBy("id").agg(F.first("component").alias("component"), F.array_sort(F.collect_set("value")).alias("values"))  # INDEX at most
+        for _ in range(COUNTS):
+            shingles_of = sets.select("id", F.explode("set").alias("s")).join(left.select("id", "component"), "id")
+            shared = shingles_of.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("s")
+            common = shingles_of.join(shared, "s").groupBy("id").agg(F.count("*").alias("common"))
+            size = left.select("id", "component", "values").join(common, "id").join(self.classes.select("id", "n"), "id")
+            size = size.withColumn("largest", F.floor(F.col("common") * (100 + self.percent) / self.percent) - F.col("n"))
+            last, left = left, written(size.filter(100 * F.col("largest") >= self.percent * F.col("n")).drop("common"), "open-classes")
+            forget(last)
+        lists = lists.select("value", "id").join(left, "id")
+        x, y = (lists.select("value", *(F.col(c).alias(f"{c}_{i}") for c in ("id", "component", "n", "largest", "values"))) for i in "ab")
+        can = "id_a < id_b and component_a != component_b and n_a <= largest_b and n_b <= largest_a"
+        first = F.array_min(F.array_intersect("values_a", "values_b")) == F.col("value")  # a pair is made once
+        pairs = x.join(y.withColumnRenamed("value", "value_b"), F.expr(f"value = value_b and {can}") & first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        pairs = written(pairs, "open-pairs")
+        forget(left)
         for df in (lists, sets):
             forget(df)
         return pairs
@@ -180,8 +189,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
     search = _Search(docs, classes, k, percent)
     postings = written(search.postings(), "postings")
     links = search.links(search.typical(postings))
-    pairs = search.across(postings, components(links))
-    return components(links.unionByName(search.links(pairs)))
+    return components(links.unionByName(search.links(search.across(postings, components(links)))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
