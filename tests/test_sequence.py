@@ -10,7 +10,7 @@ from lectern.streaming import context
 def test_packing(spark):
     sizes = [[30, 40, 50, 200, 10, 90, 9], [], [100], [1, 1, 1]]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, s array<int>").select("i", sequence.packed(F.col("s"), 100).alias("a"), sequence.packed(F.col("s"), 100, 2).alias("b")).orderBy("i").collect()
-    assert [r["a"] for r in rows] == [[0, 0, 1, 2, 3, 4, 4], [], [0], [0, 0, 0]] or rows[0]["a"][3] not in (rows[0]["a"][2], rows[0]["a"][4])
+    assert [r["a"] for r in rows] == [[0, 0, 1, 2, 3, 4, 4], [], [0], [0, 0, 0]]
     assert rows[3]["b"] == [0, 0, 1]
 
 
