@@ -6,8 +6,8 @@ Encoding, per partition and without a shuffle:
    distinct word (a match of the pattern) of the block once, as an array of bytes, and
    after those the document as a list of word numbers.
 2. Spark folds the ranked merges over the byte array of each distinct word with
-   higher-order functions. The rank map is a literal: arrays of pair keys and merged ids,
-   dealt into buckets by key.
+   higher-order functions. The rank map is a literal: arrays of pairs of ids and of ranks, dealt
+   into buckets.
 3. A second streaming pass in the same stage puts the ids of the words together again.
 
 A block ends when it has BLOCK_WORDS distinct words, so memory is bounded whatever the size
@@ -36,11 +36,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern.llm.common import fresh, let
 
-#: Distinct words of a block; bytes of text between two hand-overs; buckets of the rank map.
-BLOCK_WORDS, HAND_OVER, BUCKETS = 400_000, 2_000_000, 16_381
+#: Distinct words of a block; characters of text between two hand-overs.
+BLOCK_WORDS, HAND_OVER = 400_000, 2_000_000
+#: Buckets of the rank map, a prime.
+BUCKETS = 16_381
 #: A longer word has its merges found with a heap in the second pass: the fold copies its arrays at every merge.
 LONG_WORD = 1_024
-NO_RANK = 2**31 - 1
 #: White space as the tokenizer's pattern means it (Unicode's White_Space).
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -104,52 +105,45 @@ def _literal(value, kind: str) -> Column:
 def fold(word: Column, path: str) -> Column:
     """The ids of a word given as an array of byte values: the ranked merges as a fold.
 
-    The state has the ids and the rank of each adjacent pair. Every step joins the leftmost
-    pair of lowest rank and looks up the one or two pairs that this makes.
+    The state has, for each token, the rank of its pair with the next one and its own id in one number,
+    so that the least number is the pair to join, the leftmost of equals first. Every step joins it
+    and looks up the one or two pairs that this makes.
     """
     ranks, merges = _vocabulary(path)
-    width = max(ranks.values()) + 1
+    bits = max(ranks.values()).bit_length()
+    ids_of, none = (1 << bits) - 1, (1 << 62)  # none: the rank of a pair that nothing joins
     keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    joined: list[list[int]] = [[] for _ in range(BUCKETS)]
+    joined: list[list[int]] = [[none] for _ in range(BUCKETS)]  # none where array_position() finds nothing
     for (left, right), rank in merges.items():
-        key = left * width + right
+        key = left << bits | right
         keys[key % BUCKETS].append(key)
-        joined[key % BUCKETS].append(rank)
-    all_keys, all_joined = _literal(keys, "array<array<bigint>>"), _literal(joined, "array<array<int>>")
-    byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        joined[key % BUCKETS].append(rank << bits)
+    all_keys, all_joined = _literal(keys, "array<array<bigint>>"), _literal(joined, "array<array<bigint>>")
+    byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
-    def rank(left: Column, right: Column) -> Column:
-        def of(key: Column) -> Column:
-            bucket = (key % BUCKETS).cast("int")
-            return let(F.array_position(F.get(all_keys, bucket), key).cast("int"), lambda p: F.when(p > 0, F.get(F.get(all_joined, bucket), p - 1)).otherwise(NO_RANK))
-
-        return let(left.cast("bigint") * width + right, of)
-
-    def state(ids: Column, pairs: Column) -> Column:
-        return F.struct(ids.cast("array<int>").alias("ids"), pairs.cast("array<int>").alias("ranks"))
+    def paired(left: Column, right: Column) -> Column:
+        """The number of a token before another, or before nothing (null)."""
+        key = F.shiftleft(left, bits).bitwiseOR(right)
+        bucket = (key % BUCKETS).cast("int")
+        rank = F.get(F.get(all_joined, bucket), F.array_position(F.get(all_keys, bucket), key).cast("int"))
+        return F.coalesce(rank, F.lit(none)).bitwiseOR(left)
 
     def step(s: Column, _: Column) -> Column:
-        def join(new: Column) -> Column:
-            def at(p: Column) -> Column:
-                ids, pairs = s["ids"], s["ranks"]
-                left, right = F.get(ids, p - 2), F.get(ids, p + 1)
-                around = F.when(p > 1, F.array(rank(left, new))).otherwise(F.array().cast("array<int>"))
-                around = F.concat(around, F.when(right.isNotNull(), F.array(rank(new, right))).otherwise(F.array().cast("array<int>")))
-                return state(
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, F.size(ids))),
-                    F.concat(F.slice(pairs, F.lit(1), F.greatest(p - 2, F.lit(0))), around, F.slice(pairs, p + 2, F.size(ids))),
-                )
+        def join(least: Column, p: Column) -> Column:
+            new, left, right = F.shiftright(least, bits), F.get(s, p - 2).bitwiseAND(ids_of), F.get(s, p + 1).bitwiseAND(ids_of)
+            here, rest = paired(new, right), F.slice(s, p + 2, F.size(s))
+            return F.when(p > 1, F.concat(F.slice(s, F.lit(1), p - 2), F.array(paired(left, new), here), rest)).otherwise(F.concat(F.array(here), rest))
 
-            return let(F.array_position(s["ranks"], new).cast("int"), at)
+        def least_at(least: Column) -> Column:
+            return F.when(least >= none, s).otherwise(let(F.array_position(s, least).cast("int"), lambda p: join(least, p)))
 
-        return let(F.array_min(s["ranks"]), lambda new: F.when(new.isNull() | (new == NO_RANK), s).otherwise(join(new)))
+        return let(F.array_min(s), least_at)
 
     def run(ids: Column) -> Column:
-        pairs = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), rank)
-        steps = F.sequence(F.lit(2), F.size(ids))
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(steps, state(ids, pairs), step, lambda s: s["ids"]))
+        start = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), paired)
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, step), lambda x: x.bitwiseAND(ids_of).cast("int"))
 
-    return let(F.transform(word, lambda b: F.get(byte_ids, b)), run)
+    return let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: F.when(F.size(ids) > 1, run(ids)).otherwise(ids.cast("array<int>")))
 
 
 def _splitter(pattern: str):
