@@ -2,9 +2,10 @@
 
 1. Every line with a word gets a hash of its trimmed text and of how often the document has had it
    before, so that a document has no hash twice.
-2. Rare hashes find overlapping documents: lines that few documents share, or that are long enough
-   to be a passage by themselves. A later document is paired with the first document of each of
-   its rare lines, so a passage in a million documents makes a million pairs, not their square.
+2. Runs of lines find overlapping documents: the shortest run of BLOCK_WORDS words or more from a
+   line on, and the shortest up to a line. Every line of a block is in such a run of the block. A
+   later document is paired with the first document of each of its runs, so a passage in a million
+   documents makes a million pairs, not their square, and none is too frequent to be found.
 3. Each pair is aligned as patience diff does: the longest chain of common lines in the same
    order on both sides, then again without that chain, for blocks that have moved.
 4. Runs of aligned lines that follow each other on both sides are blocks; those of BLOCK_WORDS
@@ -13,6 +14,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -24,25 +26,54 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import fresh, written
 
-#: Words of a block that is deleted at least; documents that share a rare line at most, unless it has as many words as a block.
-BLOCK_WORDS, RARE = 25, 64
+#: Words of a block that is deleted at least.
+BLOCK_WORDS = 25
 
 
-def _lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "nth", "at", "h", "w")}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen: dict[bytes, int] = {}
-            nth = 0
-            for at, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
-                if w := len(line.split()):
-                    line = line.strip()
-                    seen[line] = before = seen.get(line, -1) + 1
-                    for c, v in zip(out, (doc, nth, at, xxhash.xxh3_64_intdigest(line, seed=before) - 2**63, w)):
-                        out[c].append(v)
-                    nth += 1
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+def runs(hashes: list[int], words: list[int], block_words: int) -> tuple[list[int | None], list[int | None]]:
+    """For each line the hash of the shortest run from it on that has block_words words or more, and of the
+    shortest up to it unless that is a run of the first kind; None where there is none."""
+    raw = array("q", hashes).tobytes()
+    ahead: list[int | None] = [None] * len(words)
+    back: list[int | None] = [None] * len(words)
+    start = total = 0
+
+    def run(a: int, b: int) -> int:
+        return xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - 2**63
+
+    for end, w in enumerate(words):
+        total += w
+        first = start
+        while start <= end and total >= block_words:
+            ahead[start] = run(start, end)
+            total -= words[start]
+            start += 1
+        if start == first and start:
+            back[end] = run(start - 1, end)
+    return ahead, back
+
+
+def _lines(block_words: int):
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out: dict[str, list] = {c: [] for c in ("doc_id", "nth", "at", "h", "w", "ahead", "back")}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen: dict[bytes, int] = {}
+                places, hashes, sizes = [], [], []
+                for at, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                    if w := len(line.split()):
+                        line = line.strip()
+                        seen[line] = before = seen.get(line, -1) + 1
+                        places.append(at)
+                        hashes.append(xxhash.xxh3_64_intdigest(line, seed=before) - 2**63)
+                        sizes.append(w)
+                n = len(places)
+                for c, v in zip(out, ([doc] * n, range(n), places, hashes, sizes, *runs(hashes, sizes, block_words))):
+                    out[c] += v
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+
+    return batches
 
 
 def longest_chain(places: list[int]) -> list[int]:
@@ -96,20 +127,21 @@ def _aligned(block_words: int):
     return batches
 
 
-def removals(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, gone (of each line up to the last deleted one, whether it is deleted), firsts (the documents it is aligned with), words_gone."""
     keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(keyed.mapInArrow(_lines, "doc_id long, nth int, at int, h long, w int"), "lines")
-    shared = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df"), F.max("w").alias("w_max"))
-    shared = shared.filter((F.col("df") > 1) & ((F.col("df") <= rare) | (F.col("w_max") >= block_words))).select("h", "first")
-    pairs = lines.select("doc_id", "h").join(shared, "h").filter("doc_id > first").select("doc_id", "first").distinct()
+    lines = written(keyed.mapInArrow(_lines(block_words), "doc_id long, nth int, at int, h long, w int, ahead long, back long"), "lines")
+    of = lines.select("doc_id", F.explode(F.array("ahead", "back")).alias("run")).filter("run is not null")
+    shared = of.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).filter("df > 1").select("run", "first")
+    pairs = of.join(shared, "run").filter("doc_id > first").select("doc_id", "first").distinct()
+    lines = lines.drop("ahead", "back")
     here = pairs.join(lines, "doc_id")
     there = lines.select(F.col("doc_id").alias("first"), "h", F.col("nth").alias("other"))
     common = here.join(there, ["first", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "nth", "other", "at", "w")).alias("matches"))
     return common.mapInArrow(_aligned(block_words), "doc_id long, gone array<boolean>, firsts array<long>, words_gone int")
 
 
-def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RARE) -> DataFrame:
+def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the blocks of lines that an earlier document (a smaller doc_id) has, plus n_lines_gone, n_words_gone, aligned_with.
 
     Blank lines neither match nor count; the rest of a text stays as it is, its lines joined by one
@@ -120,7 +152,7 @@ def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS, rare: int = RA
     """
     docs = docs.drop("n_lines_gone", "n_words_gone", "aligned_with")
     key = fresh(docs, "dedup_doc")
-    found = removals(docs, block_words, rare).select(F.col("doc_id").alias(key), "gone", "firsts", "words_gone")
+    found = removals(docs, block_words).select(F.col("doc_id").alias(key), "gone", "firsts", "words_gone")
     gone, firsts, words_gone = (fresh(docs, f"dedup_{c}") for c in ("gone", "firsts", "words"))
     found = found.toDF(key, gone, firsts, words_gone).hint("merge")  # the same plan at every size
     out = docs.join(found, docs["doc_id"].cast("long") == found[key], "left")

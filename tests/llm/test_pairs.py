@@ -146,3 +146,13 @@ def test_line_dedup(spark):
     assert got[8][0]["text"] == "\n".join([a, a, a, b])  # only its first a and its b match, which do not follow each other
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
     assert docs.select(F.max("doc_id")).first()[0] == 8
+
+
+def test_line_dedup_has_no_cap_on_frequent_short_lines(spark):
+    line = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    passage = [line("p", 7), line("q", 10), line("r", 10)]
+    rows = [(i, "\n".join([line(f"own{i}", 12), *passage])) for i in range(80)] + [(100 + i, "\n".join(passage)) for i in range(80)]
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_lines_gone"] == 0
+    assert all(got[i]["text"] == line(f"own{i}", 12) and got[i]["aligned_with"] == [0] for i in range(1, 80))
+    assert all(got[100 + i]["text"] == "" for i in range(80))
