@@ -156,3 +156,16 @@ def test_line_dedup_has_no_cap_on_frequent_short_lines(spark):
     assert got[0]["n_lines_gone"] == 0
     assert all(got[i]["text"] == line(f"own{i}", 12) and got[i]["aligned_with"] == [0] for i in range(1, 80))
     assert all(got[100 + i]["text"] == "" for i in range(80))
+
+
+def test_line_dedup_finds_a_run_whose_lines_are_scattered_before(spark):
+    line = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
+    a, b, tail, own = line("a", 15), line("b", 15), line("t", 4), [line(f"own{i}", 12) for i in range(6)]
+    rows = [
+        (1, f"{a}\n{own[1]}"), (2, f"{own[2]}\n{b}"), (3, f"{b}\n{own[3]}\n{a}"),  # both lines, never as a run
+        (4, f"{own[4]}\n{a}\n{b}"), (5, f"{a}\n{b}\n{tail}\n{own[5]}"), (6, f"{own[0]}\n{a}\n{b}\n{tail}"),
+    ]
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_lines_gone"] == 0 for i in (1, 2, 3, 4))
+    assert got[5]["text"] == f"{tail}\n{own[5]}" and got[5]["aligned_with"] == [4]
+    assert got[6]["text"] == own[0] and got[6]["aligned_with"] == [4, 5]  # the last line is in a block only with document 5
