@@ -6,10 +6,10 @@ vector. For any other unit vector q, <x, Pq> / (sqrt(D) f) is an unbiased estima
 with an error of deviation sqrt((1 - f^2) / f^2) * sqrt(1 - <o, q>^2) / sqrt(D - 1).
 
 1. Equal vectors become one class, whose smallest vec_id stands for it.
-2. The codes of ROTATIONS rotations make one long code. Each of `tables` tables takes some of its
-   bits, about log2 of the number of vectors, as the bucket. Two vectors at the threshold agree in
-   all bits of a bucket with a chance that depends on the angle alone; the number of tables makes
-   the chance to meet in none as small as MISS.
+2. The codes of several rotations make one long code. Each of `tables` tables takes bits of its own
+   from it, about log2 of the number of vectors, as the bucket; there are as many rotations as that
+   takes. Two vectors at the threshold agree in all bits of a bucket with a chance that depends on
+   the angle alone; the number of tables makes the chance to meet in none as small as MISS.
 3. Within a bucket, the estimate and its confidence bound decide which pairs are computed again,
    exactly, in double precision. A pair is counted in the first table in which it meets alone, which
    both codes tell, so nothing is sent round to remove repetitions.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import written
 from lectern.llm.components import components
 
-#: Links by cosine; rotations whose codes are joined; the chance to miss a pair at the threshold; deviations of the bound.
-LEAST_COSINE, ROTATIONS, MISS, DEVIATIONS = 0.95, 4, 5e-4, 6.0
+#: Links by cosine; the chance to miss a pair at the threshold; deviations of the bound.
+LEAST_COSINE, MISS, DEVIATIONS = 0.95, 5e-4, 6.0
 #: Vectors of a block of a large bucket; rows that a worker compares at once.
 BLOCK, AT_ONCE = 256, 8_192
 SEED = 20_240_513
@@ -44,14 +44,16 @@ class Codes:
     def __init__(self, dim: int, n: int, least: float):
         rng = np.random.default_rng([SEED, dim])
         self.dim, self.least = dim, least
-        self.rotations = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)]
         agree = 1 - math.acos(least) / math.pi
-        self.bits = max(4, min(24, dim * ROTATIONS // 2, round(math.log2(max(n, 2)))))
+        self.bits = max(4, min(24, dim * 2, round(math.log2(max(n, 2)))))
         self.tables = math.ceil(math.log(MISS) / math.log1p(-(agree**self.bits)))
-        self.chosen = np.stack([np.sort(rng.permutation(dim * ROTATIONS)[: self.bits]) for _ in range(self.tables)])
+        used = self.tables * self.bits
+        self.rotations = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(math.ceil(used / dim))]
+        # no bit is in two tables, or they would miss the same pairs
+        self.chosen = np.sort(rng.permutation(dim * len(self.rotations))[:used].reshape(self.tables, self.bits), axis=1)
 
     def signs(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ r.T for r in self.rotations], axis=1) >= 0
+        return np.concatenate([x @ r.T >= 0 for r in self.rotations], axis=1)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """The bucket of each vector in each table."""

@@ -169,3 +169,17 @@ def test_line_dedup_finds_a_run_whose_lines_are_scattered_before(spark):
     assert all(got[i]["n_lines_gone"] == 0 for i in (1, 2, 3, 4))
     assert got[5]["text"] == f"{tail}\n{own[5]}" and got[5]["aligned_with"] == [4]
     assert got[6]["text"] == own[0] and got[6]["aligned_with"] == [4, 5]  # the last line is in a block only with document 5
+
+
+def test_tables_miss_no_more_than_they_should():
+    rng = np.random.default_rng(7)
+    for n in (10**4, 10**6, 10**7):
+        c, missed = embeddings.Codes(64, n, 0.95), 0
+        assert len(np.unique(c.chosen)) == c.chosen.size
+        for _ in range(12):
+            x, y = rng.standard_normal((2, 5_000, 64))
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+            y *= np.sqrt(1 - 0.95**2) / np.linalg.norm(y, axis=1)[:, None]
+            missed += (c.buckets(x) != c.buckets(0.95 * x + y)).all(axis=1).sum()
+        assert missed <= 60_000 * embeddings.MISS + 17, n  # three deviations above what is allowed
