@@ -1,15 +1,17 @@
 """Main text of web pages by markup and by differencing against the nearest URLs.
 
 1. A page is parsed into blocks of text. Blocks inside navigation, forms, adverts and the like are
-   dropped by their markup, and where the page marks its article, so is what is outside it.
+   dropped by their markup.
 2. Pages of a host are ordered by URL path, so that the nearest pages share the longest part of
    their address and most likely their template.
-3. The blocks of a page that no markup vouches for are aligned with those of its nearest pages by the longest
-   common subsequence, and the shared ones are deleted. A neighbour that shares most of a page's
+3. The blocks of every page are aligned with those of its nearest pages by the longest common
+   subsequence, and the shared ones are deleted. A neighbour that shares most of a page's
    text is a copy of it, not a page of the same template, and the next nearest is taken.
+4. Blocks inside a marked article are guarded: a sentence that two articles have in common is not a
+   template. They are deleted only if more than TEMPLATE_SHARE of the host's pages, and at least
+   TEMPLATE_PAGES, have them. Pages that are equal count once.
 
-Blocks inside a marked article are kept even when a neighbour shares them: a sentence that two
-articles have in common is not a template.
+Only hashes of blocks are ordered and aligned; the texts are parsed again and meet what is deleted at the end.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ EDGES = frozenset({"header", "footer"})
 CONTENT = frozenset("article post entry content story body main".split())
 #: A neighbour that shares more of a page's characters is its copy; neighbours looked at to each side, and used.
 COPY_SHARE, LOOKED_AT, USED = 0.6, 2, 2
+#: A block of an article is a template if a larger share of the host's pages have it, and so many of them.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 4
 
 
 def _words_of(attrs: dict[str, str | None]) -> set[str]:
@@ -106,16 +110,13 @@ class Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[str, bool]]:
-    """The blocks that may be main text, and whether the page's markup vouches for each."""
+    """The blocks that may be main text, and whether each is inside the page's article, or its main part if it has no article."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    found = parser.blocks
-    for inside in (1, 2):
-        if any(b[inside] for b in found):
-            return [(b[0], True) for b in found if b[inside]]
-    return [(b[0], False) for b in found]
+    inside = next((i for i in (1, 2) if any(b[i] for b in parser.blocks)), None)
+    return [(b[0], bool(inside and b[inside])) for b in parser.blocks]
 
 
 def longest_common(a: list[int], b: list[int]) -> list[int]:
@@ -159,33 +160,56 @@ def url_order(url: str | None) -> tuple[str, str]:
     return host.lower(), path.rstrip("/")
 
 
-_PARSED = "page_id long, url string, host string, path string, lines array<string>, hashes array<long>"
+_PARSED = "key binary, page_id long, url string, host string, path string, hashes array<long>, sizes array<int>, guarded array<boolean>"
+
+
+def _key(page_id: int | None, url: str | None, html: str | None) -> bytes:
+    """The same for rows that are equal."""
+    return xxhash.xxh3_128_digest(repr((page_id, url, html)).encode("utf-8", "surrogatepass"))
+
+
+def _pages(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None, str | None]]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2)))
 
 
 def _parsed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            out = {"page_id": part.column(0), "url": part.column(1), "host": [], "path": [], "lines": [], "hashes": []}
-            for url, html in zip(part.column(1).to_pylist(), part.column(2)):
+            out = {"key": [], "page_id": part.column(0), "url": part.column(1), "host": [], "path": [], "hashes": [], "sizes": [], "guarded": []}
+            for page_id, url, html in _pages(part):
                 host, path = url_order(url)
-                found = blocks(html.as_py())
-                lines = [t for t, _ in found]
-                open_lines = bool(found) and not found[0][1]
-                for c, v in zip(("host", "path", "lines", "hashes"), (host, path, lines, [xxhash.xxh3_64_intdigest(t) - 2**63 for t in lines] if open_lines else None)):
+                found = blocks(html)
+                hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in found]
+                values = (_key(page_id, url, html), host, path, hashes, [len(t) for t, _ in found], [g for _, g in found])
+                for c, v in zip(("key", "host", "path", "hashes", "sizes", "guarded"), values):
                     out[c].append(v)
-            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            types = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
 
+def _lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            keys, lines = [], []
+            for page_id, url, html in _pages(part):
+                keys.append(_key(page_id, url, html))
+                lines.append([t for t, _ in blocks(html)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string()))], ["key", "page_id", "url", "lines"])
+
+
 def _differenced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, host, line, h, guarded of the lines that a page's nearest pages share."""
     for batch in rows:
-        texts = []
-        for row in batch.select(["lines", "hashes", "near"]).to_pylist():
+        out: dict[str, list] = {c: [] for c in ("key", "host", "line", "h", "guarded")}
+        for row in batch.select(["key", "host", "hashes", "sizes", "guarded", "near"]).to_pylist():
             near = [x for x in row["near"] if x is not None]
-            gone = shared_lines(row["hashes"], [len(t) for t in row["lines"]], near)
-            texts.append("\n".join(t for i, t in enumerate(row["lines"]) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            for i in shared_lines(row["hashes"], row["sizes"], near):
+                for c, v in zip(out, (row["key"], row["host"], i, row["hashes"][i], row["guarded"][i])):
+                    out[c].append(v)
+        types = (pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
 
 def nearest(parsed: DataFrame) -> DataFrame:
@@ -200,8 +224,7 @@ def nearest(parsed: DataFrame) -> DataFrame:
     back = Window.partitionBy("range").orderBy(*(F.col(c).desc() for c in order))
     edges = ranged.select("host", "path", "page_id", "url", "hashes", "range", F.row_number().over(within).alias("nth"), F.row_number().over(back).alias("last"))
     halo = edges.filter(F.col("nth") <= LOOKED_AT).withColumn("range", F.col("range") - 1).unionByName(edges.filter(F.col("last") <= LOOKED_AT).withColumn("range", F.col("range") + 1))
-    halo = halo.select("page_id", "url", "host", "path", F.lit(None).cast("array<string>").alias("lines"), "hashes", "range", F.lit(True).alias("halo"))
-    every = ranged.withColumn("halo", F.lit(False)).unionByName(halo)
+    every = ranged.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True)), allowMissingColumns=True)
     near = []
     for step in range(1, LOOKED_AT + 1):
         for at in (F.lag, F.lead):
@@ -209,17 +232,28 @@ def nearest(parsed: DataFrame) -> DataFrame:
     return every.withColumn("near", F.array(*near)).filter("not halo").drop("halo", "range")
 
 
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, h of the blocks that so many pages of a host have that they are no part of an article."""
+    kinds = parsed.select("host", F.array_distinct("hashes").alias("hashes")).distinct()
+    pages = kinds.groupBy("host").agg(F.count("*").alias("pages"))
+    having = kinds.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+    return having.join(pages, "host").filter(F.col("n") > TEMPLATE_SHARE * F.col("pages")).select("host", "h")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id an integer, url, html).
 
     White space within a block becomes one space, blocks are joined by a newline, character
     references are decoded. A null or empty html has the empty text; a null url is a host of its own.
-    Rows that repeat a page get equal texts unless their markup names no article, when they are
-    each other's neighbours and passed over as copies. An empty table gives an empty result.
+    Rows that repeat a page get equal texts. An empty table gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = written(pages.mapInArrow(_parsed, _PARSED), "page-blocks")
-    sure = parsed.filter("hashes is null").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    unsure = nearest(parsed.filter("hashes is not null")).select("page_id", "url", "lines", "hashes", "near")
-    out = sure.unionByName(unsure.mapInArrow(_differenced, "page_id long, url string, text string"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    # equal rows are one page
+    parsed = written(pages.mapInArrow(_parsed, _PARSED).dropDuplicates(["key"]), "page-blocks")
+    shared = written(nearest(parsed).mapInArrow(_differenced, "key binary, host string, line int, h long, guarded boolean"), "page-shared")
+    sure = shared.filter("not guarded").select("key", "line")
+    guarded = shared.filter("guarded").join(templates(parsed), ["host", "h"]).select("key", "line")
+    gone = sure.unionByName(guarded).groupBy("key").agg(F.collect_list("line").alias("gone"))
+    out = pages.mapInArrow(_lines, "key binary, page_id long, url string, lines array<string>").join(gone, "key", "left")
+    kept = F.filter("lines", lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    return out.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -184,3 +184,13 @@ def test_longest_common():
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         assert len(html_main.longest_common(a, b)) == best[-1][-1]
+
+
+def test_articles_are_differenced_too(spark):
+    sign = "Read on with our daily letter."
+    rows = [(i, f"http://h.example/a/{i:02d}", f"<body><div>Our site</div><article><p>Own prose {i} {'word ' * 9 * i}end.</p><p>{sign}</p>{'<p>A saying in two articles.</p>' if i in (3, 4) else ''}</article><p>Outside {i} is text.</p></body>") for i in range(12)]
+    rows += [(100 + i, f"http://few.example/{i}", f"<article><p>Other prose {i * 7} {'some ' * (9 + i)}</p><p>{sign}</p></article>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(12):
+        assert got[i].split("\n") == [" ".join(f"Own prose {i} {'word ' * 9 * i}end.".split()), *["A saying in two articles."] * (i in (3, 4)), f"Outside {i} is text."]
+    assert all(got[100 + i].endswith(sign) for i in range(2))  # two pages don't make a template
