@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding, per partition and without a shuffle:
+First the distinct words of a sample of about SAMPLE_CHARS characters, KNOWN_WORDS of them at most, are folded and
+sent to all tasks, since most words of a text are common ones. The sample only saves work: any other word is folded
+where it stands, and the ids are the same whatever is in it.
+
+Then encoding goes per partition and without a shuffle:
 
 1. A streaming pass splits each text by the tokenizer's pattern. It passes on every
-   distinct word (a match of the pattern) of the block once, as an array of bytes, and
+   distinct word (a match of the pattern) of the block that is not known yet once, as an array of bytes, and
    after those the document as a list of word numbers.
 2. Spark folds the ranked merges over the byte array of each distinct word with
-   higher-order functions. The rank map is a literal: arrays of pairs of ids and of ranks, dealt
-   into buckets.
+   higher-order functions. The rank map is a literal: one array of ranks and one of the place at which
+   the row of each left id begins in it.
 3. A second streaming pass in the same stage puts the ids of the words together again.
 
 A block ends when it has BLOCK_WORDS distinct words, so memory is bounded whatever the size
@@ -23,13 +27,17 @@ import base64
 import heapq
 import json
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyspark.sql.types as T
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,8 +46,8 @@ from lectern.llm.common import fresh, let
 
 #: Distinct words of a block; characters of text between two hand-overs.
 BLOCK_WORDS, HAND_OVER = 400_000, 2_000_000
-#: Buckets of the rank map, a prime.
-BUCKETS = 16_381
+#: Characters of the sample whose words are folded beforehand, and such words at most.
+SAMPLE_CHARS, KNOWN_WORDS = 32_000_000, 400_000
 #: A longer word has its merges found with a heap in the second pass: the fold copies its arrays at every merge.
 LONG_WORD = 1_024
 #: White space as the tokenizer's pattern means it (Unicode's White_Space).
@@ -102,6 +110,40 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+@cache
+def _rank_map(path: str) -> tuple[list[int], list[int], int]:
+    """base, table, bits: table[base[left] + right] ^ (left << bits) is the rank of a pair of ids that merges.
+
+    For any other pair that number has more than `bits` bits. Each left id has a row of right ids; the rows are
+    laid into one table, each shifted so that none meets another, and every place says whose it is.
+    """
+    ranks, merges = _vocabulary(path)
+    n = max(ranks.values()) + 1
+    bits = n.bit_length()
+    if 3 * bits > 62:
+        raise ValueError("the vocabulary has more than a million ids")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (left, right), rank in merges.items():
+        rows.setdefault(left, []).append((right, rank))
+    free, table, base, top, first = np.ones(len(merges) + 4 * n, dtype=bool), np.full(len(merges) + 4 * n, n << bits, dtype=np.int64), [0] * n, 0, 0
+    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        rights = np.array([right for right, _ in row])
+        least = rights.min()
+        first += int(free[first:].argmax())
+        at = max(first - int(least), 0)
+        while True:
+            shifts = np.flatnonzero(free[at + least : at + least + 4_096]) + at
+            fits = free[shifts[:, None] + rights].all(axis=1)
+            if fits.any():
+                break
+            at += 4_096
+        base[left] = at = int(shifts[fits.argmax()])
+        free[at + rights] = False
+        table[at + rights] = [left << bits | rank for _, rank in row]
+        top = max(top, at)
+    return base, table[: top + n].tolist(), bits
+
+
 def fold(word: Column, path: str) -> Column:
     """The ids of a word given as an array of byte values: the ranked merges as a fold.
 
@@ -109,71 +151,105 @@ def fold(word: Column, path: str) -> Column:
     so that the least number is the pair to join, the leftmost of equals first. Every step joins it
     and looks up the one or two pairs that this makes.
     """
-    ranks, merges = _vocabulary(path)
-    bits = max(ranks.values()).bit_length()
-    ids_of, none = (1 << bits) - 1, (1 << 62)  # none: the rank of a pair that nothing joins
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    joined: list[list[int]] = [[none] for _ in range(BUCKETS)]  # none where array_position() finds nothing
-    for (left, right), rank in merges.items():
-        key = left << bits | right
-        keys[key % BUCKETS].append(key)
-        joined[key % BUCKETS].append(rank << bits)
-    all_keys, all_joined = _literal(keys, "array<array<bigint>>"), _literal(joined, "array<array<bigint>>")
+    ranks, _ = _vocabulary(path)
+    base, table, bits = _rank_map(path)
+    ids_of, none = (1 << bits) - 1, 1 << 2 * bits  # none: above the number of every pair that merges
     byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
-    def paired(left: Column, right: Column) -> Column:
-        """The number of a token before another, or before nothing (null)."""
-        key = F.shiftleft(left, bits).bitwiseOR(right)
-        bucket = (key % BUCKETS).cast("int")
-        rank = F.get(F.get(all_joined, bucket), F.array_position(F.get(all_keys, bucket), key).cast("int"))
-        return F.coalesce(rank, F.lit(none)).bitwiseOR(left)
+    def folded(table: Column, base: Column) -> Column:
+        def paired(left: Column, right: Column) -> Column:
+            """The number of a token before another; null before nothing."""
+            rank = F.get(table, F.get(base, left) + right).bitwiseXOR(left * (1 << bits))
+            return (rank * (1 << bits)).bitwiseOR(left)
+
+        def last(left: Column) -> Column:
+            return left.bitwiseOR(F.lit(none))
 
-    def step(s: Column, _: Column) -> Column:
-        def join(least: Column, p: Column) -> Column:
-            new, left, right = F.shiftright(least, bits), F.get(s, p - 2).bitwiseAND(ids_of), F.get(s, p + 1).bitwiseAND(ids_of)
-            here, rest = paired(new, right), F.slice(s, p + 2, F.size(s))
-            return F.when(p > 1, F.concat(F.slice(s, F.lit(1), p - 2), F.array(paired(left, new), here), rest)).otherwise(F.concat(F.array(here), rest))
+        def step(s: Column, _: Column) -> Column:
+            def join(least: Column, p: Column) -> Column:
+                new, left, right = F.shiftright(least, bits), F.get(s, p - 2).bitwiseAND(ids_of), F.get(s, p + 1).bitwiseAND(ids_of)
+                here, rest = F.coalesce(paired(new, right), last(new)), F.slice(s, p + 2, F.size(s))
+                return F.when(p > 1, F.concat(F.slice(s, F.lit(1), p - 2), F.array(paired(left, new), here), rest)).otherwise(F.concat(F.array(here), rest))
 
-        def least_at(least: Column) -> Column:
-            return F.when(least >= none, s).otherwise(let(F.array_position(s, least).cast("int"), lambda p: join(least, p)))
+            def least_at(least: Column) -> Column:
+                return F.when(least >= none, s).otherwise(let(F.array_position(s, least).cast("int"), lambda p: join(least, p)))
 
-        return let(F.array_min(s), least_at)
+            return let(F.array_min(s), least_at)
 
-    def run(ids: Column) -> Column:
-        start = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), paired)
-        return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, step), lambda x: x.bitwiseAND(ids_of).cast("int"))
+        def run(ids: Column) -> Column:
+            start = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda left, right: F.coalesce(paired(left, right), last(left)))
+            return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, step), lambda x: x.bitwiseAND(ids_of).cast("int"))
 
-    return let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: F.when(F.size(ids) > 1, run(ids)).otherwise(ids.cast("array<int>")))
+        return let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: F.when(F.size(ids) > 1, run(ids)).otherwise(ids.cast("array<int>")))
+
+    # each literal is in the plan once
+    return let(_literal(table, "array<bigint>"), lambda t: let(_literal(base, "array<bigint>"), lambda b: folded(t, b)))
 
 
 def _splitter(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
 
 
-def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema):
+def _word_counts(pattern: str):
+    """Each distinct word of up to BLOCK_WORDS, as an array of bytes, and how often it stands there; longer words than LONG_WORD left out."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_in, counts = _splitter(pattern).findall, Counter()
+
+        def done() -> pa.RecordBatch:
+            words = [(list(b), n) for w, n in counts.items() if len(b := w.encode("utf-8", "surrogatepass")) <= LONG_WORD]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.list_(pa.int32())), pa.array([n for _, n in words], pa.int64())], ["word", "n"])
+
+        for batch in rows:
+            for text in batch.column(0):
+                counts.update(words_in(text.as_py() or ""))
+                if len(counts) >= BLOCK_WORDS:
+                    yield done()
+                    counts.clear()
+        yield done()
+
+    return batches
+
+
+def _known_words(texts: DataFrame, path: str, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The most frequent words of a sample of the table's texts (one column), the ends of their ids, and the ids."""
+    name = texts.columns[0]
+    chars = texts.agg(F.sum(F.length(name))).first()[0] or 0
+    some = texts.filter(F.pmod(F.xxhash64(name), F.lit(1_000_000)) < min(1.0, SAMPLE_CHARS / max(chars, 1)) * 1_000_000)
+    words = some.mapInArrow(_word_counts(pattern), "word array<int>, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = words.orderBy(F.col("n").desc(), "word").limit(KNOWN_WORDS).select("word", fold(F.col("word"), path).alias("ids"))
+    found = words.toArrow().combine_chunks()
+    ids = found.column("ids").combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    known = [bytes(w).decode("utf-8", "surrogatepass") for w in found.column("word").to_pylist()]
+    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype("<i8") if len(ids) else np.empty(0, dtype="<i8")
+    return known, np.cumsum(sizes), (ids.flatten().to_numpy(zero_copy_only=False).astype("<i4") if len(ids) else np.empty(0, dtype="<i4"))
+
+
+def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema, known: Broadcast):
     #: White space and what follows it up to the next: no match of the pattern crosses such a unit's end.
     unit = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+    #: Units that are one match of the pattern, and most are.
+    simple = re.compile(" ?(?:[A-Za-z]|[\xc0-\xd6]|[\xd8-\xf6]|[\xf8-\xff])+").fullmatch if pattern == public_tokenizers.PATTERN else lambda _: None
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_in = _splitter(pattern).findall
+        words_in, known_numbers = _splitter(pattern).findall, {w: i for i, w in enumerate(known.value[0])}
 
         class Units(dict):
-            """Word numbers, as bytes, of each unit; takes note of words not yet seen in the block."""
+            """Word numbers, as bytes, of each unit; takes note of words neither known nor yet seen in the block."""
 
             def __init__(self):
-                self.numbers: dict[str, int] = {}
+                self.numbers: dict[str, int] = dict(known_numbers)
                 self.new: list[bytes] = []
-                self.seen = 0
 
             def __missing__(self, key: str) -> bytes:
-                found = []
-                for w in words_in(key):
-                    n = self.numbers.setdefault(w, len(self.numbers))
-                    if n == len(self.numbers) - 1 and n >= self.seen:
+                found, numbers = array("i"), self.numbers
+                for w in (key,) if simple(key) else words_in(key):
+                    if (n := numbers.get(w)) is None:
+                        n = numbers[w] = len(numbers)
                         self.new.append(w.encode("utf-8", "surrogatepass"))
-                        self.seen = n + 1
                     found.append(n)
-                self[key] = out = np.array(found, dtype="<i4").tobytes()
+                self[key] = out = found.tobytes()
                 return out
 
         units = Units()
@@ -205,16 +281,18 @@ def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema):
                 if size >= HAND_OVER or i == len(texts) - 1:
                     yield hand_over(docs.slice(first, i + 1 - first), streams, starts)
                     first, size, streams, starts = i + 1, 0, [], False
-                    if len(units.numbers) >= BLOCK_WORDS:
+                    if len(units.numbers) - len(known_numbers) >= BLOCK_WORDS:
                         units, starts = Units(), True
 
     return batches
 
 
-def _joined(keep: pa.Schema, path_merges, out: pa.Schema):
+def _joined(keep: pa.Schema, path_merges, out: pa.Schema, known: Broadcast):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_ids, get_merges = path_merges
-        pool, ends, fill, words = np.empty(1 << 16, dtype="<i4"), np.zeros(1 << 12, dtype="<i8"), 0, 0  # ends[i + 1]: end of word i's ids
+        _, known_ends, known_ids = known.value
+        pool, ends = np.concatenate([known_ids, np.empty(1 << 16, dtype="<i4")]), np.concatenate([[0], known_ends, np.zeros(1 << 12, dtype="<i8")])  # ends[i + 1]: end of word i's ids
+        fill, words = len(known_ids), len(known_ends)
 
         for batch in rows:
             n = batch.num_rows
@@ -225,7 +303,7 @@ def _joined(keep: pa.Schema, path_merges, out: pa.Schema):
             cuts = [0, *(int(i) for i in np.flatnonzero(resets) if i), n]
             for a, b in zip(cuts, cuts[1:]):
                 if b > a and resets[a]:
-                    fill = words = 0
+                    fill, words = len(known_ids), len(known_ends)
                 i = a
                 while i < b:
                     j = i
@@ -276,11 +354,13 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     end = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     end_arrow = pa.schema([*arrow, pa.field("ids", pa.list_(pa.int32()))])
     ranks, _ = _vocabulary(path)
-    split = plain.mapInArrow(_split(arrow, "text", pattern, mid_arrow), mid)
+    spark = docs.sparkSession.sparkContext
+    known = spark.broadcast(_known_words(plain.select("text"), path, pattern))  # KNOWN_WORDS at most
+    split = plain.mapInArrow(_split(arrow, "text", pattern, mid_arrow, known), mid)
     folded = split.select(*names.values(), F.when(F.col("word").isNotNull(), fold(F.col("word"), path)).alias("ids"), "stream", "kind", "starts")
     byte_ids = [ranks[bytes([b])] for b in range(256)]
-    spark_merges = docs.sparkSession.sparkContext.broadcast(_vocabulary(path)[1])  # as large as the vocabulary
-    done = folded.mapInArrow(_joined(arrow, (byte_ids, lambda: spark_merges.value), end_arrow), end)
+    merges = spark.broadcast(_vocabulary(path)[1])  # as large as the vocabulary
+    done = folded.mapInArrow(_joined(arrow, (byte_ids, lambda: merges.value), end_arrow, known), end)
     return done.select(*(F.col(k).alias(c) for c, k in names.items()), F.col("ids").alias(ids))
 
 

@@ -39,6 +39,7 @@ def test_byte_bpe(spark):
 def test_blocks_start_afresh(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 2)
     monkeypatch.setattr(bpe, "HAND_OVER", 1)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
     test_byte_bpe(spark)
 
 
