@@ -171,3 +171,42 @@ def classify_pages(rows: DataFrame, size: int = 12) -> DataFrame:
 
     order = Window.orderBy(F.col("chars").desc(), "signature")  # a row a signature
     return rows.withColumn("page", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+
+
+class Delimited(Translator):
+    """Lists in one request, texts parted by the delimiter; one by one where the reply has another number of parts.
+
+    ask: the request that a user plugs in. An empty reply is an error.
+    """
+
+    def __init__(self, ask: Callable[[str], str]):
+        self.ask = ask
+
+    def translate(self, text: str) -> str:
+        reply = self.ask(text)
+        if not reply.strip():
+            raise ValueError("the reply is empty")
+        return reply
+
+    def translate_list(self, texts: Sequence[str]) -> list[str]:
+        if len(texts) < 2:
+            return [self.translate(t) for t in texts]
+        reply = self.translate(DELIMITER.join(texts))
+        parts = extract_paragraphs(reply, len(texts))
+        return parts if len(parts) == len(texts) else [self.translate(t) for t in texts]
+
+
+def chat_tokens(count: Callable[[str], int], text: str | None) -> int:
+    """Tokens of a text as a chat's only message: its own, those of the role, four for the message and two for the reply."""
+    return 4 + count("user") + count(text or "") + 2
+
+
+def token_counts(rows: DataFrame, text: str, counter: Callable[[], Callable[[str], int]], name: str = "tokens") -> DataFrame:
+    """rows with chat_tokens() of a text; counter makes, once a task, what counts the tokens of a string."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = counter()
+        for batch in batches:
+            yield batch.map(lambda t: chat_tokens(count, t)).astype("int64")
+
+    return rows.withColumn(name, F.pandas_udf(run, "long")(F.col(text)))

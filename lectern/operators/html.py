@@ -11,11 +11,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import constants as K
 from lectern.functions import text as T
+from lectern.operators import css
 
 #: Comments, scripts and styles are one token each; a tag that the page's end cuts off is one too.
 TOKEN = re.compile(r"<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>?|[^<]+", re.S)
@@ -48,31 +50,47 @@ def _ancestor(i: int, name: str, tag: str) -> dict:
     }
 
 
-def tokenize(html: str | None) -> Iterator[tuple[int, str, str | None, str, list[dict]]]:
-    """ord, kind, tag, text and open elements of each token.
+def _walk(html: str | None) -> Iterator[tuple[int, str, str | None, str, object]]:
+    """ord, kind, tag, text of each token; after a token that opens an element a step `open` with the element, before
+    one that closes some a step `close` with how many stay open.
 
     A start tag opens its element unless it is void; an end tag closes the innermost of its name and
     what is open within, or nothing. Texts have character references decoded.
     """
-    open_: list[dict] = []
+    tags: list[str] = []
     for i, token in enumerate(TOKEN.findall(html or ""), 1):
+        if token[0] != "<":
+            yield i, "text", None, _REFERENCE.sub(lambda m: _html.unescape(m[0]), token) if "&" in token else token, None
+            continue
         name = _NAME.match(token)
         tag = name[1].lower() if name else None
-        if token[0] != "<":
-            yield i, "text", None, _REFERENCE.sub(lambda m: _html.unescape(m[0]), token), list(open_)
-        elif tag in ("script", "style") and token[1] != "/":
-            yield i, "opaque", tag, token, list(open_)
+        if tag in ("script", "style") and token[1] != "/":
+            yield i, "opaque", tag, token, None
         elif not tag:
-            yield i, "other", None, token, list(open_)
+            yield i, "other", None, token, None
         elif token[1] == "/":
-            at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k]["tag"] == tag), None)
+            at = next((k for k in range(len(tags) - 1, -1, -1) if tags[k] == tag), None)
             if at is not None:
-                del open_[at:]
-            yield i, "end", tag, token, list(open_)
+                del tags[at:]
+                yield i, "close", tag, token, at
+            yield i, "end", tag, token, None
         else:
-            yield i, "void" if tag in K.VOID_TAGS else "start", tag, token, list(open_)
+            yield i, "void" if tag in K.VOID_TAGS else "start", tag, token, None
             if tag not in K.VOID_TAGS and not token.endswith("/>"):
-                open_.append(_ancestor(i, tag, token))
+                tags.append(tag)
+                yield i, "open", tag, token, _ancestor(i, tag, token)
+
+
+def tokenize(html: str | None) -> Iterator[tuple[int, str, str | None, str, list[dict]]]:
+    """ord, kind, tag, text and open elements of each token."""
+    open_: list[dict] = []
+    for i, kind, tag, token, step in _walk(html):
+        if kind == "open":
+            open_.append(step)
+        elif kind == "close":
+            del open_[step:]
+        else:
+            yield i, kind, tag, token, list(open_)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,28 +167,149 @@ def ancestor_reason(anc: Column, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, di
     return F.coalesce(F.get(direct, 0), F.when(hidden, "hidden"))
 
 
-def partition(pages: DataFrame, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, displays: dict[str, str] | None = None) -> DataFrame:
+_PART = "page_id long, ord int, text string, chars int, reason string, owner int, parent int, grandparent int, parent_signature string, signature string"
+_UNIT = "page_id long, unit_ord int, signature string, text string, chars long, owner int, parent int, grandparent int, parent_signature string"
+_ALNUM = regex.compile(r"[\p{L}\p{N}]").search
+_LINK = re.compile(T.URL).match
+_STRIP = " \t\n\f\r"
+_INVISIBLE = dict.fromkeys(map(ord, "\xad\u200b\ufeff"))
+_BLANK = re.compile(T.WS + "+")
+
+
+def _normal(text: str) -> str:
+    return _BLANK.sub(" ", text.translate(_INVISIBLE)).strip(" ")
+
+
+def _skip(text: str) -> str | None:
+    """whitespace, link or symbol, else None: what functions.text.skip_reason() says of normalised text."""
+    return "whitespace" if not text.strip(_STRIP) else "link" if _LINK(text.strip(_STRIP)) else None if _ALNUM(text) else "symbol"
+
+
+class _Element:
+    """An open element, with what it and the elements around it say of the text inside."""
+
+    __slots__ = ("block", "hidden", "in_body", "in_pre", "in_ruby", "noted", "of_block", "ord", "pieces", "reason", "roots", "signature", "up")
+
+    def __init__(self, of: dict, up: "_Element | None", excluded: frozenset[str], displays: dict[str, str]):
+        tag, self.up, self.ord = of["tag"], up, of["ord"]
+        self.signature = f"{tag}.{of['classes'][0]}" if of["classes"] else tag
+        shown = _display(tag, of["classes"], displays) if displays else None
+        self.block = tag in K.BLOCK_TAGS if shown is None else shown in K.BLOCK_DISPLAYS
+        own = "non-content" if tag in K.NON_CONTENT_TAGS else "ruby" if tag in K.RUBY_TAGS else "excluded-tag" if tag in excluded else "pagebreak" if of["pagebreak"] else None
+        self.reason = own or (up.reason if up else None)
+        self.hidden = of["hidden"] or shown == "none" or bool(up and up.hidden)
+        self.noted = of["note"] or bool(up and up.noted)
+        self.in_body, self.in_pre, self.in_ruby = (any((tag in tags, up and getattr(up, name))) for tags, name in ((("body",), "in_body"), (("pre",), "in_pre"), (K.RUBY_TAGS, "in_ruby")))
+        self.of_block = self if self.block else up.of_block if up else None
+        # the outermost inline element within a block: its whole text has one verdict
+        self.pieces: list[str] | None = [] if not self.block and up and up.block else None
+        self.roots: list[_Element] = [*(up.roots if up else ()), *([self] if self.pieces is not None else ())]
+
+    def verdict(self) -> str | None:
+        return self.reason or ("hidden" if self.hidden and not self.noted else None)
+
+    def root(self) -> "_Element | None":
+        """The root that the text inside shares its verdict with: the last one, unless a block stands within."""
+        return self.roots[-1] if self.of_block and not self.block and self.roots else None
+
+
+def _display(tag: str, classes: list[str], displays: dict[str, str]) -> str | None:
+    """What display_of() says."""
+    last_first = [(*s.partition("."), v) for s, v in displays.items()][::-1]
+    tiers = (lambda t, c: t == tag and c and c in classes, lambda t, c: not t and c and c in classes, lambda t, c: t == tag and not c)
+    return next((v for fits in tiers for t, _, c, v in last_first if fits(t, c)), None)
+
+
+def parts_of(html: str | None, excluded: frozenset[str], displays: dict[str, str]) -> list[tuple]:
+    """The rows of partition() of one page, without page_id."""
+    open_: list[_Element] = []
+    nodes: list[tuple[int, str, _Element]] = []
+    for i, kind, tag, token, anc in _walk(html):
+        if kind == "open":
+            open_.append(_Element(anc, open_[-1] if open_ else None, excluded, displays))
+        elif kind == "close":
+            del open_[anc:]
+        elif open_ and open_[-1].in_body and (kind == "text" or tag == "br" and not open_[-1].in_pre):
+            top, text = open_[-1], token if kind == "text" else "\n"
+            nodes.append((i, text, top))
+            if not top.in_ruby:
+                for root in top.roots:
+                    root.pieces.append(text)
+    judged: dict[int, str | None] = {}
+    out = []
+    for i, text, top in nodes:
+        chars = len(text.strip(_STRIP))
+        reason = top.verdict() if chars else "whitespace"
+        if reason is None:
+            if (root := top.root()) is None:
+                reason = _skip(_normal(text))
+            else:
+                if root.ord not in judged:
+                    judged[root.ord] = _skip(_normal("".join(root.pieces)))
+                reason = judged[root.ord]
+        block = top.of_block
+        parent = block.up if block else None
+        grand = parent.up if parent else None
+        out.append((i, text, chars, reason, block and block.ord, parent and parent.ord, grand and grand.ord, parent.signature if parent else "", block.signature if block else ""))
+    return out
+
+
+def units_of(parts: list[tuple]) -> list[tuple]:
+    """The rows of units() of one page's parts, without page_id."""
+    blocks: dict[tuple, list[tuple]] = {}
+    for part in parts:
+        blocks.setdefault(part[4:], []).append(part)
+    out = []
+    for (owner, parent, grand, parent_signature, signature), some in blocks.items():
+        kept = [p for p in some if p[3] is None]
+        if kept:
+            pieces = [text if reason is None or not chars else " " if text != text.strip(_STRIP) else "" for _, text, chars, reason, *_ in some]
+            out.append((kept[0][0], signature, _normal("".join(pieces)), sum(p[2] for p in kept), owner, parent, grand, parent_signature))
+    return out
+
+
+def _one_pass(schema: str, of_page, excluded: tuple[str, ...], displays: dict[str, str] | None):
+    fields = [f.split() for f in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t] for _, t in fields]
+    names, without, shown = [n for n, _ in fields], frozenset(excluded), displays or {}
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_sheets: dict[tuple[str, ...], dict[str, str]] = {}
+        for batch in rows:
+            out: list[list] = [[] for _ in names]
+            for page, html, sheets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                own = shown
+                if sheets:
+                    own = of_sheets.get(tuple(sheets)) or of_sheets.setdefault(tuple(sheets), css.displays(sheets))
+                for row in of_page(parts_of(html.as_py(), without, own)):
+                    for column, value in zip(out, (page, *row)):
+                        column.append(value)
+                if len(out[0]) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names)
+                    out = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names)
+
+    return batches
+
+
+def _for_pass(pages: DataFrame, html: str, sheets: str | None) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), html, F.col(sheets) if sheets else F.lit(None).cast("array<string>").alias("_sheets"))
+
+
+def partition(pages: DataFrame, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, displays: dict[str, str] | None = None, html: str = "html", sheets: str | None = None) -> DataFrame:
     """The text nodes of pages: page_id, ord, text, chars, reason (null: kept), owner (ord of the block), parent, grandparent, parent_signature, signature.
 
     A node without a reason of its elements shares the verdict on the text of its whole inline
-    element, so `<a><span>C</span><span>HAPTER I</span></a>` is judged as CHAPTER I.
+    element, so `<a><span>C</span><span>HAPTER I</span></a>` is judged as CHAPTER I. Everything that a verdict needs is on its page, so
+    one pass over the pages does it, without a shuffle. A null page has no nodes. sheets: a column with the stylesheets of
+    each page (an array, in order); where it is null or empty, displays holds.
     """
-    nodes = body_nodes(tokens(pages))
-    blocks = F.transform("anc", lambda a: F.coalesce(is_block(a, displays), F.lit(False)))
-    at = F.size("anc") - F.array_position(F.reverse(blocks), True).cast("int")  # index of the innermost block
-    nodes = nodes.withColumn("chars", F.length(T.strip(F.col("text")))).withColumn("at", at)
-    nodes = nodes.withColumn("of_elements", F.when(F.col("chars") == 0, "whitespace").otherwise(ancestor_reason(F.col("anc"), excluded, displays)))
-    nodes = nodes.withColumn("root", F.when(F.col("of_elements").isNull(), F.get("anc", F.col("at") + 1)["ord"]))
-    roots = nodes.filter("root is not null").select("page_id", "root").distinct()
-    ruby = F.exists("anc", lambda a: a["tag"].isin(*K.RUBY_TAGS))
-    inside = nodes.filter(~ruby).select("page_id", "ord", "text", F.explode(F.transform("anc", lambda a: a["ord"])).alias("root")).join(roots, ["page_id", "root"])
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
-    verdicts = inside.groupBy("page_id", "root").agg(T.skip_reason(T.normalize(whole)).alias("of_subtree"))
-    out = nodes.join(verdicts, ["page_id", "root"], "left")
-    own = T.skip_reason(T.normalize(F.col("text")))
-    reason = F.coalesce("of_elements", F.when(F.col("root").isNull(), own).otherwise(F.col("of_subtree")))
-    block = F.get("anc", "at")
-    return out.select("page_id", "ord", "text", "chars", reason.alias("reason"), block["ord"].alias("owner"), F.get("anc", F.col("at") - 1)["ord"].alias("parent"), F.get("anc", F.col("at") - 2)["ord"].alias("grandparent"), signature(F.get("anc", F.col("at") - 1)).alias("parent_signature"), signature(block).alias("signature"))
+    return _for_pass(pages, html, sheets).mapInArrow(_one_pass(_PART, lambda parts: parts, excluded, displays), _PART)
+
+
+def page_units(pages: DataFrame, excluded: tuple[str, ...] = K.EXCLUDED_TAGS, displays: dict[str, str] | None = None, html: str = "html", sheets: str | None = None) -> DataFrame:
+    """units(partition(pages)) in the same pass, without a shuffle."""
+    return _for_pass(pages, html, sheets).mapInArrow(_one_pass(_UNIT, units_of, excluded, displays), _UNIT)
 
 
 def units(parts: DataFrame) -> DataFrame:

@@ -24,13 +24,14 @@ def _in_order(units: DataFrame) -> Column:
 
 def signature_rows(units: DataFrame) -> DataFrame:
     """signature, units, chars, first (page and ordinal of its first unit), samples (distinct, first-seen order, clipped)."""
-    first = F.min(F.struct("page_id", "unit_ord"))
-    # a sample is the first unit of a distinct text, so texts are thinned out before they are gathered
-    distinct = units.groupBy("signature", "text").agg(F.min(F.struct("page_id", "unit_ord")).alias("at"))
-    rank = Window.partitionBy("signature").orderBy("at")
+    # one row a distinct text, known by its digest: what is shuffled are samples, not texts
+    at = F.min(F.struct("page_id", "unit_ord", T.clip(F.col("text")).alias("sample"))).alias("at")
+    distinct = units.groupBy("signature", F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), at)
+    rank = Window.partitionBy("signature").orderBy("at")  # cut to SAMPLES rows before the shuffle
     samples = distinct.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= SAMPLES)
-    samples = samples.groupBy("signature").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: T.clip(x["text"])).alias("samples"))
-    return units.groupBy("signature").agg(F.count("*").alias("units"), F.sum("chars").alias("chars"), first.alias("first")).join(samples, "signature")
+    samples = samples.groupBy("signature").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "at.sample"))), lambda x: x["sample"]).alias("samples"))
+    first = F.min(F.struct("at.page_id", "at.unit_ord")).alias("first")
+    return distinct.groupBy("signature").agg(F.sum("n").alias("units"), F.sum("chars").alias("chars"), first).join(samples, "signature")
 
 
 def coverage(parts: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def check_coverage(parts: DataFrame, least: float = 0.5) -> None:
 
 def override(units: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units that stay, and reason, chars of those that actions (signature, action) skip."""
-    joined = units.join(F.broadcast(actions), "signature", "left")  # a row a signature, written by a person
+    joined = units.join(actions, "signature", "left")  # Spark broadcasts actions if they are small
     out = F.coalesce(F.col("action").isin("skip", "llm-skip"), F.lit(False))
     gone = joined.filter(out).groupBy(F.when(F.col("action") == "skip", "user-excluded").otherwise("llm-excluded").alias("reason")).agg(F.sum("chars").alias("chars"))
     return joined.filter(~out).drop("action"), gone

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lectern import queries_books, queries_html, queries_text
+from lectern import queries_books, queries_html, queries_more, queries_text
 
-QUERIES: dict = queries_html.QUERIES | queries_text.QUERIES | queries_books.QUERIES
-ORACLE_SQL: dict[str, str] = queries_html.ORACLE_SQL | queries_text.ORACLE_SQL | queries_books.ORACLE_SQL
+_MODULES = (queries_html, queries_text, queries_books, queries_more)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -35,11 +35,11 @@ def plan_skip_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.units(_parts(spark, sf_dir)).select("page_id", "unit_ord", "signature", "text", "chars")
+    return html.page_units(_pages(spark, sf_dir)).select("page_id", "unit_ord", "signature", "text", "chars")
 
 
 def plan_signature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = translation.signature_rows(html.units(_parts(spark, sf_dir)))
+    rows = translation.signature_rows(html.page_units(_pages(spark, sf_dir)))
     return rows.select("signature", "units", "chars", F.array_join("samples", "|").alias("samples"))
 
 
@@ -66,12 +66,12 @@ def plan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plan_override_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters that a skip of footers and a model's skip of adverts leave out, and what stays."""
     actions = spark.createDataFrame([("footer", "skip"), ("div.ad", "llm-skip"), ("p", "translate")], "signature string, action string")
-    stay, gone = translation.override(html.units(_parts(spark, sf_dir)), actions)
+    stay, gone = translation.override(html.page_units(_pages(spark, sf_dir)), actions)
     return gone.unionByName(stay.agg(F.lit("kept").alias("reason"), F.sum("chars").alias("chars")))
 
 
 def plan_top_rows_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return translation.report(translation.signature_rows(html.units(_parts(spark, sf_dir))), top=3)
+    return translation.report(translation.signature_rows(html.page_units(_pages(spark, sf_dir))), top=3)
 
 
 def tag_mode_leaf_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def nav_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_pages_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page whose text has each of some words."""
     words = spark.createDataFrame([("the",), ("der",), ("que",)], "word string")
-    texts = html.units(_parts(spark, sf_dir)).select("page_id", "text")
+    texts = html.page_units(_pages(spark, sf_dir)).select("page_id", "text")
     return texts.join(F.broadcast(words), F.contains("text", F.col("word"))).groupBy("word").agg(F.min("page_id").alias("page_id"), F.countDistinct("page_id").alias("pages"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import languages
 from lectern.functions import text as T
-from lectern.operators import enrich, html, sequence
+from lectern.operators import enrich, html, resume, sequence
 from lectern.session import table
 
 QUERIES: dict = {}
@@ -171,7 +171,7 @@ def poetry_runs(spark, sf_dir):
 
 
 def _stanzas(spark, sf_dir) -> DataFrame:
-    return sequence.stanzas(html.units(html.partition(table(spark, sf_dir, "pages"))), group_size=4)
+    return sequence.stanzas(html.page_units(table(spark, sf_dir, "pages")), group_size=4)
 
 
 def _stanza_sql(tail: str) -> str:
@@ -206,24 +206,28 @@ def job_ids(spark, sf_dir):
     return sequence.lines(_docs(spark, sf_dir)).select("doc_id", "line_no", T.job_id(F.col("doc_id"), F.lit("doc.xhtml"), F.col("line_no"), F.col("line")).alias("job_id"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id < (SELECT min(doc_id) FROM documents WHERE doc_id % 97 = 96)")
+@query("SELECT doc_id, source FROM documents WHERE doc_id < (SELECT CAST(round(0.75 * max(doc_id)) AS BIGINT) FROM documents)")
 def completed_prefix(spark, sf_dir):
-    return sequence.completed_prefix(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id", F.col("doc_id") % 97 != 96)
+    """Three quarters are done, and of the rest every second one."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source")
+    gap = docs.agg(F.round(0.75 * F.max("doc_id")).cast("long")).first()[0] or 0
+    return sequence.completed_prefix(docs, "doc_id", (F.col("doc_id") < gap) | ((F.col("doc_id") - gap) % 2 == 1))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '[offline]' || text[1:40] END AS translation, doc_id % 3 = 0 AS pending FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sha256('[offline]' || text) END AS translation, doc_id % 3 = 0 AS pending FROM documents")
 def resume_left_join(spark, sf_dir):
-    jobs = _docs(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("job"), F.left("text", F.lit(40)).alias("head"))
-    done = jobs.filter("doc_id % 3 != 0").select("doc_id", "job", enrich.offline(F.col("head")).alias("translation"))
-    out = jobs.join(done, ["doc_id", "job"], "left")
-    return out.select("doc_id", "translation", F.col("translation").isNull().alias("pending"))
+    """The whole translations of the jobs that are done, by digest."""
+    jobs = _docs(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("job"), "text")
+    done = jobs.filter("doc_id % 3 != 0").select("doc_id", "job", F.sha2(enrich.offline(F.col("text")).cast("binary"), 256).alias("translation"))
+    out = resume.resumed(jobs.select("doc_id", "job"), done, ["doc_id", "job"])
+    return out.select("doc_id", "translation", "pending")
 
 
-@query("SELECT count(*) AS checked, count(*) FILTER (doc_id % 50 = 7) AS mismatches FROM documents WHERE doc_id < 500")
+@query("SELECT count(*) AS checked, count(*) FILTER (doc_id % 50 = 7) AS mismatches FROM documents")
 def checkpoint_prefix_check(spark, sf_dir):
     jobs = _docs(spark, sf_dir).select("doc_id", T.job_id(F.col("doc_id"), F.col("source"), F.lit(0), F.col("text")).alias("job"))
-    saved = jobs.filter("doc_id < 500").select("doc_id", F.when(F.col("doc_id") % 50 == 7, "changed").otherwise(F.col("job")).alias("saved"))
-    return saved.join(jobs, "doc_id", "left").agg(F.count("*").alias("checked"), _count(~F.col("saved").eqNullSafe(F.col("job")), "mismatches"))
+    saved = jobs.select("doc_id", F.when(F.col("doc_id") % 50 == 7, "changed").otherwise(F.col("job")).alias("job"))
+    return resume.prefix_check(saved, jobs, "doc_id", "job")
 
 
 @query("SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
@@ -366,8 +370,9 @@ def extract_paragraph_ladder(spark, sf_dir):
     return spark.createDataFrame([(i, n, "|".join(enrich.extract_paragraphs(r, n))) for i, (r, n) in enumerate(replies)], "id int, n int, paragraphs string")
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10))) AS n, '[offline]' || string_split(text, chr(10))[1] AS first FROM documents")
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS n, sha256(list_aggregate(list_transform(string_split(text, chr(10)), lambda x: '[offline]' || x), 'string_agg', chr(10))) AS translated FROM documents")
 def enrich_offline(spark, sf_dir):
-    """Batches through the translator protocol: one list of lines a document."""
+    """Batches through the translator protocol: one list of lines a document; all translated lines by digest."""
     batches = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("texts"))
-    return enrich.enrich(batches).select("doc_id", F.size("translated").cast("long").alias("n"), F.col("translated")[0].alias("first"))
+    done = enrich.enrich(batches)
+    return done.select("doc_id", F.size("translated").cast("long").alias("n"), F.sha2(F.array_join("translated", "\n").cast("binary"), 256).alias("translated"))
