@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, classifier, line_dedup, minhash, mixing, stats
-from lectern.llm.common import fresh, new_path, written
+from lectern.llm.common import fresh, new_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier accepts; it learns from the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = classifier.fit(written(stats.shape(docs, ["doc_id"]), "statistics"), labels)
+    model = classifier.fit_texts(docs, labels)
     row = fresh(docs, "row")
     packed = docs.select(F.struct(*docs.columns).alias(row), "doc_id", "text")
     good = classifier.scored(stats.shape(packed, [row, "doc_id"]), model).filter("predicted = 1")
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The documents as often as the mix of sources takes them, in the order of the queue."""
     return mixing.mixed(docs)
 
 
