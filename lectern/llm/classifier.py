@@ -20,6 +20,8 @@ from lectern.llm.common import forget, written
 
 #: Shrinkage towards the pooled covariance and towards the diagonal; labelled rows for the slope and offset at most.
 TO_POOLED, TO_DIAGONAL, SCALING_SAMPLE = 0.1, 0.1, 20_000
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 2_000_000
 #: A document is good from this score on.
 GOOD = 0.7
 
@@ -113,6 +115,19 @@ def fit(rows: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_dia
     return model
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """fit() from texts (doc_id, text): statistics are taken of the labelled rows outside the held-out fold alone.
+
+    Their ids are broadcast up to BROADCAST_IDS of them; with more, texts are shuffled to meet them.
+    """
+    ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~stats.held_out()).select("doc_id").distinct()
+    ids = written(ids, "labelled-ids")
+    ids_of = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    model = fit(stats.shape(docs.select("doc_id", "text").join(ids_of, "doc_id", "left_semi"), ["doc_id"]), labels)
+    forget(ids)
+    return model
+
+
 def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
     """rows, which have doc_id and the statistics of stats.shape(), with held_out, score and predicted.
 
