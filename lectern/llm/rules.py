@@ -2,11 +2,12 @@
 
 Each rule is a conjunction such as `symbol_rate >= 0.02 and log_words < 6.1` that says a
 text is bad. A rule grows on two thirds of the rows not yet covered, adding the condition
-with the highest information gain, is pruned on the other third by dropping its last
+with the highest information gain, of equal ones that with the widest gap between the rows
+on its two sides, in the middle of which its threshold lies; it is pruned on the other third by dropping its last
 conditions while that does not lower (bad - good) / (bad + good), and is kept if it is
 right often enough there. The rows it covers then leave, and the next rule is grown.
 Every step is a grouped count over binned statistics, so the data stay in Spark; the
-driver sees one row for each statistic and bin. What comes out is one ordered
+driver sees one row for each statistic and bin (counts and the least and largest value). What comes out is one ordered
 CASE WHEN expression over the statistics.
 """
 
@@ -72,33 +73,55 @@ def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad0 / (bad0 + good0)))
 
 
-def _counts(rows: DataFrame, edges: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
-    """Bad and good rows by statistic and bin; bin i is between edges i - 1 and i."""
-    each = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(f"bin_{s}").alias("bin")) for s in edges))
-    got = rows.select("bad", F.explode(each).alias("x")).groupBy("x.stat", "x.bin").agg(F.sum(F.col("bad").cast("int")).alias("bad"), F.count("*").alias("n")).collect()
-    out: dict[str, dict[int, tuple[int, int]]] = {s: {} for s in edges}
+@dataclass
+class _Bin:
+    """Bad and good rows of a statistic's bin, and their least and largest value."""
+
+    bad: int
+    good: int
+    low: float
+    high: float
+
+
+def _counts(rows: DataFrame, edges: dict[str, list[float]]) -> dict[str, dict[int, _Bin]]:
+    """Occupied bins by statistic; bin i is between edges i - 1 and i."""
+    each = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(f"bin_{s}").alias("bin"), F.col(s).alias("value")) for s in edges))
+    of = rows.select("bad", F.explode(each).alias("x")).groupBy("x.stat", "x.bin")
+    got = of.agg(F.sum(F.col("bad").cast("int")).alias("bad"), F.count("*").alias("n"), F.min("x.value").alias("low"), F.max("x.value").alias("high")).collect()
+    out: dict[str, dict[int, _Bin]] = {s: {} for s in edges}
     for r in got:
-        out[r["stat"]][r["bin"]] = (r["bad"], r["n"] - r["bad"])
+        out[r["stat"]][r["bin"]] = _Bin(r["bad"], r["n"] - r["bad"], r["low"], r["high"])
     return out
 
 
+def best_condition(counts: dict[str, dict[int, _Bin]]) -> Condition | None:
+    """The condition of the highest gain, the widest gap relative to the statistic's range among equals; None if none gains.
+
+    Ties beyond that go to the first statistic, the lowest threshold, and below before above.
+    """
+    best, what = (1e-9, -1.0), None
+    for stat, bins in counts.items():
+        order = [bins[i] for i in sorted(bins)]
+        bad0, good0 = sum(b.bad for b in order), sum(b.good for b in order)
+        bad = good = 0
+        for under, over in zip(order, order[1:]):
+            bad, good = bad + under.bad, good + under.good
+            gap = (over.low - under.high) / (order[-1].high - order[0].low)
+            for above, x, y in ((False, bad, good), (True, bad0 - bad, good0 - good)):
+                if (worth := (_gain(x, y, bad0, good0), gap)) > best:
+                    middle = under.high + (over.low - under.high) / 2
+                    best, what = worth, Condition(stat, above, middle if middle > under.high else over.low)
+    return what
+
+
 def _grow(rows: DataFrame, edges: dict[str, list[float]]) -> list[Condition]:
     rule: list[Condition] = []
     while len(rule) < MAX_CONDITIONS:
         counts = _counts(rows.filter(_all(rule)), edges)
-        some = next(iter(counts.values()))
-        bad0, good0 = sum(b for b, _ in some.values()), sum(g for _, g in some.values())
-        if not bad0 or not good0 and rule:
+        some = next(iter(counts.values())).values()
+        if not any(b.bad for b in some) or rule and not any(b.good for b in some):
             break
-        best, what = 1e-9, None
-        for stat, cuts in edges.items():
-            bad = good = 0
-            for i, cut in enumerate(cuts):
-                b, g = counts[stat].get(i, (0, 0))
-                bad, good = bad + b, good + g
-                for above, x, y in ((False, bad, good), (True, bad0 - bad, good0 - good)):
-                    if (gain := _gain(x, y, bad0, good0)) > best:
-                        best, what = gain, Condition(stat, above, cut)
+        what = best_condition(counts)
         if what is None:
             break
         rule.append(what)
