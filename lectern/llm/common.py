@@ -19,10 +19,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset, as in tests, a temporary folder of this machine is set.
+    Only where it is unset, as in tests, a temporary folder of this machine is set; on a cluster, whose executors
+    would not see it, that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not str(spark.conf.get("spark.master", "local")).startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.TemporaryDirectory(prefix="lectern-")
         atexit.register(folder.cleanup)
         at = f"file://{folder.name}"

@@ -102,15 +102,22 @@ def test_code_estimates_are_unbiased_and_bounded():
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     i, j = rng.integers(0, 400, 20_000), rng.integers(0, 400, 20_000)
-    rotated = x @ c.rotations[0].T
-    f = np.abs(rotated).sum(axis=1) / 8
-    estimate = np.einsum("ij,ij->i", np.where(rotated >= 0, 1.0, -1.0)[i], rotated[j]) / (8 * f[i])
+
+    def stored(x):
+        packed, f, rounded, scale = c.code(x, np.arange(len(x)))
+        assert packed.dtype == np.uint8 and packed.shape[1] == 8 and rounded.dtype == np.int8
+        return np.unpackbits(packed, axis=1, count=64).astype(np.float32) * 2 - 1, f, rounded.astype(np.float32), scale
+
+    signs, f, rounded, scale = stored(x)
+    estimate = np.einsum("ij,ij->i", signs[i], rounded[j]) * scale[j] / (8 * f[i])
     assert abs(np.mean(estimate - np.einsum("ij,ij->i", x[i], x[j]))) < 0.01
     near = x + rng.standard_normal(x.shape) * 0.035
     near /= np.linalg.norm(near, axis=1)[:, None]
     both = np.concatenate([x, near])
     linked = np.einsum("ij,ij->i", x, near) >= 0.95
-    assert embeddings._estimated(both, both @ c.rotations[0].T, np.arange(400)[linked], np.arange(400, 800)[linked], 0.95).all()
+    assert embeddings.may_link(*stored(both), np.arange(400)[linked], np.arange(400, 800)[linked], 0.95).all()
+    far = embeddings.may_link(signs, f, rounded, scale, i[i != j], j[i != j], 0.95)
+    assert far.mean() < 0.2  # most pairs need no vectors
 
 
 def test_longest_chain():
@@ -143,11 +150,47 @@ def test_line_dedup(spark):
     assert got[2][0]["text"] == "\n".join([line("y"), "", line("z"), short]) and got[2][0]["aligned_with"] == [1]
     assert got[4][0]["text"] == "\n".join([c, short, line("v")]) and got[4][0]["n_words_gone"] == 40  # c and short have 24 words
     assert [r["text"] for r in got[5]] == ["", ""]
-    assert got[8][0]["text"] == "\n".join([a, a, a, b])  # only its first a and its b match, which do not follow each other
+    assert got[8][0]["text"] == "\n".join([a, a])  # its last a and b follow each other as in document 1
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
     assert docs.select(F.max("doc_id")).first()[0] == 8
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Every line of a run of 25 words that a smaller doc_id has as well goes, and no other."""
+    rng = random.Random(12)
+    pool = [" ".join(f"w{i}x{j}" for j in range(rng.choice([3, 8, 14, 26]))) for i in range(40)]
+    texts = {}
+    for d in range(60):
+        lines = []
+        while len(lines) < rng.randrange(1, 30):
+            at = rng.randrange(40)
+            lines += pool[at : at + rng.randrange(1, 6)] if rng.random() < 0.5 else [rng.choice(["", " ", f"own {d} {len(lines)}", pool[at]])]
+        texts[d] = "\n".join(lines)
+    full = {d: [(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in texts.items()}
+
+    def stretches(lines):
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b][1].split())
+                if n >= 25:
+                    yield a, b, tuple(x for _, x in lines[a : b + 1])
+                    break
+
+    seen, want = set(), {}
+    for d in sorted(texts):
+        lines = full[d]
+        own = [*stretches(lines), *((len(lines) - 1 - b, len(lines) - 1 - a, x[::-1]) for a, b, x in stretches(lines[::-1]))]
+        gone = {lines[k][0] for a, b, x in own if x in seen for k in range(a, b + 1)}
+        seen |= {x for _, _, x in own} | {tuple(x for _, x in lines[a : b + 1]) for a in range(len(lines)) for b in range(a, len(lines))}
+        want[d] = "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(docs).collect()}
+    assert {d: r["text"] for d, r in got.items()} == want and any(r["n_lines_gone"] for r in got.values())
+    again = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs.unionByName(docs)).collect()}
+    assert again == want  # repeated rows lose nothing to each other
+
+
 def test_line_dedup_has_no_cap_on_frequent_short_lines(spark):
     line = lambda s, n: " ".join(f"{s}{i}" for i in range(n))
     passage = [line("p", 7), line("q", 10), line("r", 10)]
@@ -183,3 +226,25 @@ def test_tables_miss_no_more_than_they_should():
             y *= np.sqrt(1 - 0.95**2) / np.linalg.norm(y, axis=1)[:, None]
             missed += (c.buckets(x) != c.buckets(0.95 * x + y)).all(axis=1).sum()
         assert missed <= 60_000 * embeddings.MISS + 17, n  # three deviations above what is allowed
+
+
+def test_tiles_count_as_sets_do():
+    rng = np.random.default_rng(11)
+    for first, second in ((0, 0), (0, 1)):
+        sets = [np.unique(np.concatenate([rng.permutation(50)[:40], 1000 + rng.choice(9000, rng.integers(0, 4))])) for _ in range(40)]
+        tile = {"value": [5] * 40, "first": [first] * 40, "second": [second] * 40, "block": [i % 2 * second for i in range(40)], "id": list(range(100, 140)), "component": [i // 3 for i in range(40)]}
+        tile |= {"n": [len(s) for s in sets], "largest": [10**6] * 40, "values": [np.array(sorted({5, int(rng.integers(0, 12))})) for _ in range(40)], "set": sets}
+        want = {i: i for i in range(40)}
+        for i in range(40):
+            for j in range(i):
+                shared = set(tile["values"][i].tolist()) & set(tile["values"][j].tolist())
+                both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if i // 3 != j // 3 and min(shared) == 5 and (first == second or i % 2 != j % 2) and 100 * both >= 70 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((want[i], want[j]))
+                    want = {k: a if v == b else v for k, v in want.items()}
+        links = minhash.tile_links(tile, 70)
+        got = {i: i for i in range(40)}
+        for a, b in links:
+            a, b = sorted((got[a - 100], got[b - 100]))
+            got = {k: a if v == b else v for k, v in got.items()}
+        assert got == want and len(links) == 40 - len(set(want.values())) and links

@@ -195,3 +195,25 @@ def test_articles_are_differenced_too(spark):
     for i in range(12):
         assert got[i].split("\n") == [" ".join(f"Own prose {i} {'word ' * 9 * i}end.".split()), *["A saying in two articles."] * (i in (3, 4)), f"Outside {i} is text."]
     assert all(got[100 + i].endswith(sign) for i in range(2))  # two pages don't make a template
+
+
+def test_pages_amid_copies_lose_their_template(spark):
+    menu, foot = "Home News Shop About us and more", "All of it ours, all rights kept"
+
+    def page(own):
+        return f"<body><div>{menu}</div><p>{own}</p><div>{foot}</div></body>"
+
+    story = "A long story that many pages of this host print with hardly a word changed, " + "again and again " * 8
+    rows = [(i, f"http://c.example/a/{i:03d}", page(f"{story}") if i % 2 else page(story) + f"<p>Seen {i} times</p>") for i in range(30)]  # near and exact copies
+    rows += [(100 + i, f"http://c.example/b/{i:03d}", page(f"Short {i}")) for i in range(12)]  # mostly template
+    rows += [(150 + i, f"http://c.example/c/{i:03d}", page(f"Page {i} has prose of its own, {'and more of it ' * (3 + i)}to its end.")) for i in range(8)]
+    rows += [(200, "http://c.example/a/015x", page("One page of its own amid the copies, and with more text than its template has in all."))]
+    rows += [(300, "http://alone.example/", page("Only page")), (301, None, "<p>x</p>"), (301, None, "<p>x</p>")]
+    got = {}
+    for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    assert all(got[i] == [story.strip() + ("" if i % 2 else f"\nSeen {i} times")] for i in range(30))
+    assert all(got[100 + i] == [f"Short {i}"] for i in range(12))
+    assert all(menu not in got[150 + i][0] and foot not in got[150 + i][0] and "prose" in got[150 + i][0] for i in range(8))
+    assert got[200] == [rows[50][2].split("<p>")[1].split("</p>")[0]] and menu in got[300][0] and got[301] == ["x", "x"]
+    assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
