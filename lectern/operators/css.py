@@ -75,9 +75,16 @@ def rule_table(sheets: DataFrame) -> DataFrame:
 
 
 def resolved(elements: DataFrame, rule_rows: DataFrame) -> DataFrame:
-    """elements (element, tag, classes) with display: the rule of the highest tier and, in it, the last declared; null without one."""
-    fits = (rule_rows["tag"].isNull() | (rule_rows["tag"] == elements["tag"])) & (rule_rows["class"].isNull() | F.array_contains(elements["classes"], rule_rows["class"]))
-    tier = F.when(rule_rows["class"].isNull(), 1).otherwise(F.when(rule_rows["tag"].isNull(), 2).otherwise(3))
-    best = F.max_by("display", F.struct(tier, "sheet", "rule")).alias("display")
-    # rules are as many as a book's stylesheets declare
-    return elements.join(F.broadcast(rule_rows), fits, "left").groupBy("element").agg(best)
+    """elements (element, tag, classes) with display: the rule of the highest tier and, in it, the last declared; null without one.
+
+    A join on what a selector names: an element has as many keys as classes, twice, and its tag. Of each selector only the last rule takes part.
+    """
+    cls = F.col("class")
+    key = F.when(cls.isNull(), F.col("tag")).otherwise(F.concat(F.coalesce("tag", F.lit("")), F.lit("."), cls))
+    tier = F.when(cls.isNull(), 1).when(F.col("tag").isNull(), 2).otherwise(3)
+    last = rule_rows.groupBy(key.alias("key"), tier.alias("tier")).agg(F.max(F.struct("sheet", "rule", "display")).alias("last"))
+    named = F.filter("classes", lambda c: c != "")
+    keys = F.array_distinct(F.concat(F.array("tag"), F.transform(named, lambda c: F.concat(F.lit("."), c)), F.transform(named, lambda c: F.concat(F.col("tag"), F.lit("."), c))))
+    of = elements.select("element", F.explode(keys).alias("key")).join(last, "key")
+    best = of.groupBy("element").agg(F.max_by("last.display", F.struct("tier", "last.sheet", "last.rule")).alias("display"))
+    return elements.select("element").distinct().join(best, "element", "left")

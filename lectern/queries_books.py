@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import css, enrich, markdown, subtitles
-from lectern.session import table
+from lectern.session import scratch, table
 from lectern.streaming import context
 
 _MD = """---
@@ -97,15 +97,43 @@ def stream_context_state(spark, sf_dir):
     path = f"{sf_dir}/conversations.parquet"
     source = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).option("pathGlobFilter", "*.parquet")
     stream = source.parquet(path if os.path.isdir(path) else f"{sf_dir}/conversations*.parquet")
-    name = f"rolling_{abs(hash(sf_dir))}"
-    q = context.rolling_context(stream).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = scratch(spark, "rolling")
+    q = context.rolling_context(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out)
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("conv_id long, turn long, context string").parquet(out)
 
 
-QUERIES = {f.__name__: f for f in (md_blocks, md_batches, md_breadcrumbs, srt_blocks, srt_pack, srt_bilingual, css_resolution, stream_context_state)}
+def _cues(spark, sf_dir) -> DataFrame:
+    """Subtitles of documents: every line with letters is a cue."""
+    kept = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[A-Za-z]"))
+    part = F.transform(kept, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:0"), (i % 7).cast("string"), F.lit(" --> 00:00:09\n"), x))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(part, "\n\n").alias("text"))
+    return subtitles.cues(rows)
+
+
+def srt_documents(spark, sf_dir):
+    return _cues(spark, sf_dir)
+
+
+def srt_document_packs(spark, sf_dir):
+    return subtitles.packs(_cues(spark, sf_dir), 300).select("doc_id", "pack", "first", "last")
+
+
+QUERIES = {f.__name__: f for f in (md_blocks, md_batches, md_breadcrumbs, srt_blocks, srt_pack, srt_bilingual, css_resolution, stream_context_state, srt_documents, srt_document_packs)}
+
+_SRT_LINES = r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[A-Za-z]')) AS l FROM documents),
+cues AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS cue, trim(unnest(l), E' \t\n\f\r') AS text FROM l)
+"""
 
 ORACLE_SQL = {
+    "srt_documents": _SRT_LINES + "SELECT doc_id, cue, CAST(cue + 1 AS VARCHAR) AS number, '00:00:0' || cue % 7 || ' --> 00:00:09' AS time, text FROM cues",
+    "srt_document_packs": _SRT_LINES
+    + """, t AS (SELECT doc_id, cue, length(CAST(cue + 1 AS VARCHAR)) + 1 + length(text) AS n FROM cues),
+w(doc_id, cue, pack, used) AS (
+  SELECT doc_id, 0, 0, n FROM t WHERE cue = 0
+  UNION ALL
+  SELECT t.doc_id, t.cue, w.pack + CASE WHEN w.used + t.n < 300 THEN 0 ELSE 1 END, CASE WHEN w.used + t.n < 300 THEN w.used + 2 + t.n ELSE t.n END FROM w JOIN t ON t.doc_id = w.doc_id AND t.cue = w.cue + 1)
+SELECT doc_id, pack, min(cue) AS first, max(cue) + 1 AS last FROM w GROUP BY doc_id, pack""",
     "stream_context_state": "SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations",
     "srt_blocks": "SELECT CAST(d AS BIGINT) AS doc_id, CAST(c AS INTEGER) AS cue, n AS number, t AS time, x AS text FROM (VALUES (1, 0, '1', '00:00:01,000 --> 00:00:02,000', 'One'), (1, 1, '2', '00:00:02,000 --> 00:00:03,000', 'Two' || chr(10) || 'lines'), (1, 2, '3', '00:00:03,000 --> 00:00:04,000', 'Three')) v(d, c, n, t, x)",
     "css_resolution": "SELECT CAST(e AS INTEGER) AS element, d AS display FROM (VALUES (0, 'flex'), (1, 'inline-block'), (2, 'inline'), (3, 'inline'), (4, NULL)) v(e, d)",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import css, enrich, html, insert, lists, questions, resume, sequence
 from lectern.queries_html import _PARTS, _TOKENS, _sql
 from lectern.queries_text import _LINES
@@ -286,3 +287,16 @@ def preferences(spark, sf_dir):
 def numbered_paragraphs(spark, sf_dir):
     rows = _docs(spark, sf_dir).filter("text is not null")
     return rows.select("doc_id", F.sha2(questions.with_number(F.col("text"), enrich.offline(F.col("text"))).cast("binary"), 256).alias("text"))
+
+
+@query(
+    _LINES
+    + r"""SELECT doc_id, line_no, line_no % 4 = 1 AND length(trim(line, E' \t\n\f\r')) + 11 < 80 AS listing, line_no % 4 = 2 AND length(trim(line, E' \t\n\f\r')) + 10 < 80 AS figure FROM lines
+WHERE trim(line, E' \t\n\f\r') <> ''"""
+)
+def listings_and_figures(spark, sf_dir):
+    """Lines with a head as listings and figures have it: the short ones are told apart."""
+    k = F.col("line_no") % 4
+    rows = sequence.lines(_docs(spark, sf_dir)).filter(T.strip(F.col("line")) != "")
+    head = F.concat(F.when(k == 1, "Listing 12 ").when(k == 2, "Figure 3: ").otherwise("Listings "), T.strip(F.col("line")))
+    return rows.select("doc_id", "line_no", T.is_listing(head).alias("listing"), T.is_figure(head).alias("figure"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +29,16 @@ def local_session(name: str = "lectern", cpus: str | int | None = None) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which the driver and all executors share; a local session without one gets a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.TemporaryDirectory(prefix="lectern-")
+        atexit.register(folder.cleanup)
+        at = f"file://{folder.name}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -138,7 +138,8 @@ def write_batch_requests(rows: DataFrame, path: str, per_file: int = 40_000) ->
     """Requests (nth, custom_id, body) as JSON lines in a folder for each range of nth; returns the manifest batch, start, end."""
     rows = rows.withColumn("batch", F.floor(F.col("nth") / per_file))
     rows.write.partitionBy("batch").json(path)
-    return rows.groupBy("batch").agg(F.min("nth").alias("start"), (F.max("nth") + 1).alias("end"))
+    written = rows.sparkSession.read.schema("nth long, batch long").json(path)  # what stands in the files, not the input again
+    return written.groupBy("batch").agg(F.min("nth").alias("start"), (F.max("nth") + 1).alias("end"))
 
 
 def parse_prompt(text: str) -> dict[str, str]:
