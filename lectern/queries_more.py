@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import css, enrich, html, insert, lists, questions, resume, sequence
+from lectern.operators import css, enrich, html, insert, lists, questions, resume, sequence, tags
+from lectern.plans import prepare
 from lectern.queries_html import _PARTS, _TOKENS, _sql
 from lectern.queries_text import _LINES
 from lectern.session import table
@@ -300,3 +301,43 @@ def listings_and_figures(spark, sf_dir):
     rows = sequence.lines(_docs(spark, sf_dir)).filter(T.strip(F.col("line")) != "")
     head = F.concat(F.when(k == 1, "Listing 12 ").when(k == 2, "Figure 3: ").otherwise("Listings "), T.strip(F.col("line")))
     return rows.select("doc_id", "line_no", T.is_listing(head).alias("listing"), T.is_figure(head).alias("figure"))
+
+
+@query(
+    _TOKENS
+    + r""", chosen AS (SELECT page_id, ord, tag FROM tokens WHERE kind = 'start' AND tag IN ('p', 'li')),
+holders AS (SELECT page_id, unnest(list_transform(anc, lambda a: a.ord)) AS ord FROM tokens WHERE kind = 'start' AND tag IN ('p', 'li')),
+texts AS (SELECT page_id, ord AS n, unnest(list_transform(anc, lambda a: a.ord)) AS ord, text, len(list_filter(anc, lambda a: a.tag IN (@excluded))) > 0 AS gone FROM tokens WHERE kind = 'text'),
+units AS (SELECT c.page_id, c.ord, c.tag, NOT EXISTS (SELECT 1 FROM holders h WHERE h.page_id = c.page_id AND h.ord = c.ord) AS leaf,
+  coalesce(string_agg(t.text, '' ORDER BY t.n), '') AS text, coalesce(string_agg(CASE WHEN NOT t.gone THEN t.text END, '' ORDER BY t.n), '') AS kept
+  FROM chosen c LEFT JOIN texts t ON t.page_id = c.page_id AND t.ord = c.ord GROUP BY c.page_id, c.ord, c.tag)
+SELECT page_id, ord, tag, leaf, sha256(text) AS text, sha256(kept) AS kept FROM units
+UNION ALL SELECT page_id, ord, NULL, true, sha256(text), sha256(text) FROM tokens WHERE kind = 'text'"""
+)
+def tag_mode_units(spark, sf_dir):
+    """Elements of chosen tags and then all strings, whose texts come again; texts by digest."""
+    pages = table(spark, sf_dir, "pages")
+    both = lists.all_passes(tags.tag_units(pages, ("p", "li")), tags.strings(html.tokens(pages)))
+    return both.select("page_id", "ord", "tag", "leaf", *(F.sha2(F.col(c).cast("binary"), 256).alias(c) for c in ("text", "kept")))
+
+
+@query(
+    _PARTS
+    + """SELECT CASE WHEN signature IN ('footer', 'div.ad') THEN 'skipped' ELSE 'translated' END AS what, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM units GROUP BY 1"""
+)
+def plan_prepared(spark, sf_dir):
+    """The whole way of a plan: gate, verdicts of a stand-in model that skips everything in doubt but headings, actions of a person, translation, insertion."""
+    import json
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    actions = spark.createDataFrame([("footer", "skip"), ("div.ad", "skip"), ("h1", "translate"), ("p", "translate"), ("li", "translate")], "signature string, action string")
+
+    def ask(prompt: str, schema: dict) -> str:
+        return json.dumps({s: {"content_type": "x", "verdict": "skip"} for s in schema["schema"]["properties"]})
+
+    plan = prepare.prepare(pages, actions, ask, least=0.1)
+    done = prepare.translated(plan.units).join(plan.units.select("page_id", "owner", "chars"), ["page_id", "owner"])
+    stay = done.filter("translation is not null").agg(F.lit("translated").alias("what"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    every = html.page_units(pages).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    rest = every.select(F.lit("skipped").alias("what"), "n", "chars").unionByName(stay.select(F.lit("skipped").alias("what"), (-F.col("n")).alias("n"), (-F.col("chars")).alias("chars")))
+    return stay.unionByName(rest.groupBy("what").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")))

@@ -142,17 +142,39 @@ def write_batch_requests(rows: DataFrame, path: str, per_file: int = 40_000) ->
     return written.groupBy("batch").agg(F.min("nth").alias("start"), (F.max("nth") + 1).alias("end"))
 
 
-def parse_prompt(text: str) -> dict[str, str]:
-    """A prompt's parts: JSON with user and system, or a template for the user; {text} must be in the user's."""
-    try:
-        found = json.loads(text)
-    except ValueError:
+def _markdown_prompt(text: str) -> dict[str, str]:
+    """user and system of a prompt in Markdown: the first user row of the table under Conversation; the developer's or else the system's message."""
+    parts = dict(re.findall(r"(?ms)^##\s+(.+?)\s*\n(.*?)(?=^##\s|\Z)", text))
+    parts = {k.strip().lower(): v.strip() for k, v in parts.items()}
+    rows = [[c.strip() for c in line.strip().strip("|").split("|", 1)] for line in parts.get("conversation", "").split("\n") if line.strip().startswith("|")]
+    user = next((r[1].strip().replace("\\n", "\n") for r in rows if len(r) == 2 and r[0].lower() == "user"), "")
+    system = parts.get("developer message") or parts.get("system message")
+    return {"user": user} | ({"system": system} if system else {})
+
+
+def parse_prompt(text: str, name: str = "") -> dict[str, str]:
+    """A prompt's parts: JSON with user and system, Markdown (a name that ends in .md), or a template for the user; {text} must be in the user's."""
+    if name.endswith(".md"):
+        found = _markdown_prompt(text)
+    elif name.endswith(".txt"):
         found = {"user": text}
+    else:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            if name.endswith(".json"):
+                raise
+            found = {"user": text}
     if not isinstance(found, dict) or set(found) - {"user", "system"} or "{text}" not in found.get("user", ""):
         raise ValueError("a prompt has user, with {text} in it, and may have system")
     return found
 
 
+def read_prompt(spark: SparkSession, path: str) -> dict[str, str]:
+    """parse_prompt() of a file in any store that Spark reads."""
+    return parse_prompt(spark.read.text(path, wholetext=True).first()[0], path)
+
+
 def merge_providers(shared: dict[str, dict], own: dict[str, dict]) -> dict[str, dict]:
     """Provider settings by name, one's own over the shared; fails on fields that are unknown or missing."""
     out = shared | own
