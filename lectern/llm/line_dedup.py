@@ -1,27 +1,28 @@
 """Line dedup by pairwise alignment.
 
-1. Every line with a word gets a hash of its trimmed text and of how often the document has had it
-   before, so that a document has no hash twice.
+1. Every line with a word gets a hash of its trimmed text.
 2. Runs of lines find overlapping documents: the shortest run of BLOCK_WORDS words or more from a
-   line on, and the shortest up to a line. Every line of a block is in such a run of the block. A
+   line on, and the shortest up to a line. Every line of a block of so many words is in such a run of the block. A
    later document is paired with the first document of each of its runs, so a passage in a million
    documents makes a million pairs, not their square, and none is too frequent to be found.
-3. Each pair is aligned as patience diff does: the longest chain of common lines in the same
-   order on both sides, then again without that chain, for blocks that have moved.
-4. Runs of aligned lines that follow each other on both sides are blocks; those of BLOCK_WORDS
-   words or more are deleted from the later document.
+3. Each pair is aligned as patience diff does, with runs as what is matched: the longest chain of common runs in the same
+   order on both sides, then again without that chain, for blocks that have moved or come several times.
+4. Lines of aligned runs are deleted from the later document.
+
+Only hashes of runs and their places are shuffled. The texts meet what is deleted at the end.
 """
 
 from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import fresh, written
@@ -30,54 +31,53 @@ from lectern.llm.common import fresh, written
 BLOCK_WORDS = 25
 
 
-def runs(hashes: list[int], words: list[int], block_words: int) -> tuple[list[int | None], list[int | None]]:
-    """For each line the hash of the shortest run from it on that has block_words words or more, and of the
-    shortest up to it unless that is a run of the first kind; None where there is none."""
+def runs(hashes: list[int], words: list[int], block_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs of block_words words or more from each line on, and of the
+    shortest up to each line where that is none of the first kind."""
     raw = array("q", hashes).tobytes()
-    ahead: list[int | None] = [None] * len(words)
-    back: list[int | None] = [None] * len(words)
+    found: list[tuple[int, int, int]] = []
     start = total = 0
 
-    def run(a: int, b: int) -> int:
-        return xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - 2**63
+    def run(a: int, b: int) -> tuple[int, int, int]:
+        return xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b + 8]) - 2**63, a, b
 
     for end, w in enumerate(words):
         total += w
         first = start
         while start <= end and total >= block_words:
-            ahead[start] = run(start, end)
+            found.append(run(start, end))
             total -= words[start]
             start += 1
         if start == first and start:
-            back[end] = run(start - 1, end)
-    return ahead, back
+            found.append(run(start - 1, end))
+    return found
+
+
+def _lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _lines(block_words: int):
+def _runs(block_words: int):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "nth", "at", "h", "w", "ahead", "back")}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen: dict[bytes, int] = {}
-                places, hashes, sizes = [], [], []
-                for at, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashes, sizes = [], []
+                for line in _lines(text.as_py()):
                     if w := len(line.split()):
-                        line = line.strip()
-                        seen[line] = before = seen.get(line, -1) + 1
-                        places.append(at)
-                        hashes.append(xxhash.xxh3_64_intdigest(line, seed=before) - 2**63)
+                        hashes.append(xxhash.xxh3_64_intdigest(line.strip()) - 2**63)
                         sizes.append(w)
-                n = len(places)
-                for c, v in zip(out, ([doc] * n, range(n), places, hashes, sizes, *runs(hashes, sizes, block_words))):
-                    out[c] += v
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+                for run in runs(hashes, sizes, block_words):
+                    for c, v in zip(out, (doc, version, *run)):
+                        c.append(v)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["doc_id", "version", "run", "nth", "last"])
 
     return batches
 
 
 def longest_chain(places: list[int]) -> list[int]:
-    """Indexes of a longest increasing subsequence of distinct numbers, by patience sorting."""
+    """Indexes of a longest increasing subsequence of numbers, by patience sorting."""
     tops: list[int] = []
     piles: list[int] = []
     under = [-1] * len(places)
@@ -92,53 +92,83 @@ def longest_chain(places: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def common_blocks(matches: list[dict], block_words: int = BLOCK_WORDS) -> list[dict]:
-    """Of the lines that two documents share (nth, other: ordinals in each; w: words) those in blocks that are long enough."""
-    left, gone = sorted(matches, key=lambda m: m["nth"]), []
-    while sum(m["w"] for m in left) >= block_words:
-        chain = set(longest_chain([m["other"] for m in left]))
-        kept = [m for i, m in enumerate(left) if i in chain]
-        left = [m for i, m in enumerate(left) if i not in chain]
-        starts = [i for i, m in enumerate(kept) if not i or (m["nth"], m["other"]) != (kept[i - 1]["nth"] + 1, kept[i - 1]["other"] + 1)]
-        for a, b in zip(starts, [*starts[1:], len(kept)]):
-            if sum(m["w"] for m in kept[a:b]) >= block_words:
-                gone += kept[a:b]
-    return gone
+def aligned_blocks(matches: list[tuple[int, int, int]], passes: int = 8) -> list[tuple[int, int]]:
+    """The (first, last) lines of the later document's blocks that another has; matches: (nth, last, other) of common runs.
 
-
-def _aligned(block_words: int):
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            docs, flags, firsts, words = [], [], [], []
-            for row in batch.to_pylist():
-                matches = sorted(row["matches"], key=lambda m: m["first"])
-                gone, of = {}, []
-                for first, some in groupby(matches, key=lambda m: m["first"]):
-                    if block := common_blocks(list(some), block_words):
-                        gone |= {m["at"]: m["w"] for m in block}
-                        of.append(first)
-                if gone:
-                    docs.append(row["doc_id"])
-                    flags.append([i in gone for i in range(max(gone) + 1)])
-                    firsts.append(of)
-                    words.append(sum(gone.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(flags, pa.list_(pa.bool_())), pa.array(firsts, pa.list_(pa.int64())), pa.array(words, pa.int32())], ["doc_id", "gone", "firsts", "words_gone"])
-
-    return batches
+    Chains are taken out one after the other; what is left after `passes` of them lies in no order, and each run of it is a
+    block of its own.
+    """
+    left, blocks = sorted(matches), []
+    for _ in range(passes):
+        if not left:
+            break
+        chain = longest_chain([m[2] for m in left])
+        taken = set(chain)
+        last = None
+        for nth, end, other in (left[i] for i in chain):
+            if last and nth <= blocks[-1][1] + 1 and other - last[1] == nth - last[0]:
+                blocks[-1] = (blocks[-1][0], max(end, blocks[-1][1]))
+            else:
+                blocks.append((nth, end))
+            last = (nth, other)
+        left = [m for i, m in enumerate(left) if i not in taken]
+    return blocks + [(nth, end) for nth, end, _ in left]
+
+
+def _aligned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, version, blocks (first and last lines, flat), firsts from (doc_id, version, matches)."""
+    for batch in rows:
+        docs, versions, blocks, firsts = [], [], [], []
+        for row in batch.to_pylist():
+            gone, of = [], []
+            for first, some in groupby(sorted(row["matches"], key=lambda m: m["first"]), key=lambda m: m["first"]):
+                gone += aligned_blocks([(m["nth"], m["last"], m["other"]) for m in some])
+                of.append(first)
+            docs.append(row["doc_id"])
+            versions.append(row["version"])
+            blocks.append([x for block in sorted(gone) for x in block])
+            firsts.append(of)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(versions, pa.int64()), pa.array(blocks, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "version", "blocks", "firsts"])
+
+
+def _version() -> Column:
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
 
 
 def removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, gone (of each line up to the last deleted one, whether it is deleted), firsts (the documents it is aligned with), words_gone."""
-    keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = written(keyed.mapInArrow(_lines(block_words), "doc_id long, nth int, at int, h long, w int, ahead long, back long"), "lines")
-    of = lines.select("doc_id", F.explode(F.array("ahead", "back")).alias("run")).filter("run is not null")
-    shared = of.groupBy("run").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).filter("df > 1").select("run", "first")
-    pairs = of.join(shared, "run").filter("doc_id > first").select("doc_id", "first").distinct()
-    lines = lines.drop("ahead", "back")
-    here = pairs.join(lines, "doc_id")
-    there = lines.select(F.col("doc_id").alias("first"), "h", F.col("nth").alias("other"))
-    common = here.join(there, ["first", "h"]).groupBy("doc_id").agg(F.collect_list(F.struct("first", "nth", "other", "at", "w")).alias("matches"))
-    return common.mapInArrow(_aligned(block_words), "doc_id long, gone array<boolean>, firsts array<long>, words_gone int")
+    """doc_id, version (of the text), blocks (first and last of the lines with a word to delete, one after the other), firsts (the documents aligned with).
+
+    Rows that repeat a doc_id are judged each by its own text, and never against each other; a null doc_id is left out.
+    """
+    keyed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text")
+    of = written(keyed.mapInArrow(_runs(block_words), "doc_id long, version long, run long, nth int, last int"), "runs")
+    shared = of.groupBy("run").agg(F.min(F.struct("doc_id", "nth")).alias("at"), F.count("*").alias("df")).filter("df > 1")
+    shared = shared.select("run", F.col("at.doc_id").alias("first"), F.col("at.nth").alias("other"))
+    common = of.join(shared, "run").filter("doc_id > first").groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "nth", "last", "other")).alias("matches"))  # a document's own runs
+    return common.mapInArrow(_aligned, "doc_id long, version long, blocks array<int>, firsts array<long>")
+
+
+def _cut(text: str | None, blocks: Iterable[int] | None) -> tuple[str | None, int, int]:
+    """A text without the lines of its blocks, and the lines and words that go."""
+    if text is None or blocks is None:
+        return text, 0, 0
+    gone: set[int] = set()
+    flat = list(blocks)
+    for a, b in zip(flat[::2], flat[1::2]):
+        gone.update(range(a, b + 1))
+    kept, nth, words = [], -1, 0
+    for line in text.split("\n"):
+        n = len(line.encode("utf-8", "surrogatepass").split())
+        nth += n > 0
+        if n and nth in gone:
+            words += n
+        else:
+            kept.append(line)
+    return "\n".join(kept), len(gone), words
+
+
+def _rest(text: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_cut(t, b) for t, b in zip(text, blocks)], columns=["text", "n_lines", "n_words"])
 
 
 def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -146,22 +176,21 @@ def deduplicated(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
     Blank lines neither match nor count; the rest of a text stays as it is, its lines joined by one
     newline. A null or empty text, and a row with null doc_id, stays unchanged. Rows that repeat a doc_id
-    lose the same lines, and none to each other. An empty table gives an empty result.
+    lose the lines that their own text shares with smaller doc_ids, and none to each other. An empty table gives an empty result.
     Other columns pass through; those named like the added ones are replaced. A text all of whose
     lines are deleted is empty.
     """
     docs = docs.drop("n_lines_gone", "n_words_gone", "aligned_with")
-    key = fresh(docs, "dedup_doc")
-    found = removals(docs, block_words).select(F.col("doc_id").alias(key), "gone", "firsts", "words_gone")
-    gone, firsts, words_gone = (fresh(docs, f"dedup_{c}") for c in ("gone", "firsts", "words"))
-    found = found.toDF(key, gone, firsts, words_gone).hint("merge")  # the same plan at every size
-    out = docs.join(found, docs["doc_id"].cast("long") == found[key], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False))), "\n")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
-    n_gone = F.size(F.filter(F.coalesce(F.col(gone), F.array().cast("array<boolean>")), lambda x: x))
+    key, version, blocks, firsts, own, rest = (fresh(docs, f"dedup_{c}") for c in ("doc", "version", "blocks", "firsts", "own", "rest"))
+    found = removals(docs, block_words).toDF(key, version, blocks, firsts).hint("merge")  # the same plan at every size
+    out = docs.withColumn(own, _version())
+    out = out.join(found, (out["doc_id"].cast("long") == found[key]) & (out[own] == found[version]), "left")
+    hit = F.col(blocks).isNotNull()
+    cut = F.pandas_udf(_rest, "text string, n_lines int, n_words int")
+    out = out.withColumn(rest, cut(F.when(hit, F.col("text")), F.col(blocks)))  # only texts that lose lines go to Python
     return out.select(
-        *(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        n_gone.alias("n_lines_gone"),
-        F.coalesce(F.col(words_gone), F.lit(0)).alias("n_words_gone"),
+        *(F.when(hit, F.col(f"{rest}.text")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        F.when(hit, F.col(f"{rest}.n_lines")).otherwise(0).alias("n_lines_gone"),
+        F.when(hit, F.col(f"{rest}.n_words")).otherwise(0).alias("n_words_gone"),
         F.coalesce(F.col(firsts), F.array().cast("array<bigint>")).alias("aligned_with"),
     )
