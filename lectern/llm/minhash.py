@@ -14,7 +14,10 @@ one whose hashes are the most widespread: a text that others were copied from ha
 own. This joins large groups by as many pairs as they have members. Then every pair that shares a
 list and still lies in different components, but for those that a count rules out: a document has
 no more in common with any of another component than its shingles that occur in other components
-at all, which bounds the size of whatever it can be linked with.
+at all, which bounds the size of whatever it can be linked with. What is left of a list is dealt into
+blocks of BLOCK documents, and pairs of blocks into tiles. A tile finds out which of its documents have a pair left at all;
+with the full sets of these it counts what any two share at once and puts out a spanning forest of their links, so no
+table of pairs exists.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import forget, written
-from lectern.llm.components import components
+from lectern.llm.components import components, forest
 
 #: Retained hashes for estimates; those of them in inverted lists; how many of these a linked pair shares at least.
 SKETCH, INDEX, SHARED = 64, 32, 13
@@ -36,6 +39,8 @@ SKETCH, INDEX, SHARED = 64, 32, 13
 PERCENT, LEAST_ESTIMATE = 80, 52
 #: Rounds of counting what documents can share with other components; each leaves fewer of them.
 COUNTS = 3
+#: Documents of a block of a long list; shingles that a tile counts at once.
+BLOCK, AT_ONCE = 1_024, 8_192
 #: Ids that are broadcast to pick out texts at most; with more, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -44,7 +49,7 @@ class _Words(dict):
     """64-bit hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -108,6 +113,89 @@ def _estimate(a: Column, b: Column) -> Column:
     return 100 * F.size(F.array_intersect(union, F.array_intersect(a, b))) / size
 
 
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets have in common."""
+    whose = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = often[column] > 1
+    whose, column = whose[several], (np.cumsum(often > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    whose, column = whose[order], column[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)  # whole numbers up to 2^24 are exact
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, AT_ONCE):
+        a, b = np.searchsorted(column, [start, start + AT_ONCE])
+        has = np.zeros((len(sets), AT_ONCE), dtype=np.float32)
+        has[whose[a:b], column[a:b] - start] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+#: Where a document stands: a list, a pair of its blocks, and its own block; what decides on pairs.
+_PLACE, _KNOWN = ("value", "first", "second", "block", "id"), ("component", "n", "largest", "values")
+
+
+def open_pairs(tile: dict[str, list], percent: int) -> np.ndarray:
+    """Which pairs of a tile's documents are to be compared: columns value, first, second, block, id, component, n, largest, values."""
+    n, largest, component, block = (np.asarray(tile[c], dtype=np.int64) for c in ("n", "largest", "component", "block"))
+    found = np.triu(component[:, None] != component, 1) & (n[:, None] <= largest) & (n <= largest[:, None])
+    found &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+    if tile["first"][0] != tile["second"][0]:
+        found &= block[:, None] != block
+    if found.any():
+        # a pair is looked at in the first of the lists that it shares
+        at = np.flatnonzero(found.any(axis=0) | found.any(axis=1))
+        found[np.ix_(at, at)] &= _shared_counts([v[v < tile["value"][0]] for v in (tile["values"][i] for i in at)]) == 0
+    return found
+
+
+def tile_links(tile: dict[str, list], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links across components within a tile, which also has the column set."""
+    open_ = open_pairs(tile, percent)
+    at = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+    if not len(at):
+        return []
+    both = _shared_counts([tile["set"][i] for i in at])
+    n = np.asarray(tile["n"], dtype=np.int64)[at]
+    i, j = np.nonzero(open_[np.ix_(at, at)] & (100 * both >= percent * (n[:, None] + n - both)))
+    root = forest(len(at), i, j)
+    ids = np.asarray(tile["id"], dtype=np.int64)[at]
+    return [(int(ids[r]), int(x)) for x, r, k in zip(ids, root, range(len(at))) if r != k]
+
+
+def _tiles(percent: int, with_sets: bool):
+    """Rows sorted by (value, first, second): without sets the places of documents that have a pair there; with sets links a, b."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (*_PLACE, *_KNOWN, "set") if with_sets else (*_PLACE, *_KNOWN)
+        tile: dict[str, list] = {c: [] for c in names}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(tile["id"]) < 2:
+                return
+            if with_sets:
+                out, columns, types = tile_links(tile, percent), ["a", "b"], [pa.int64()] * 2
+            else:
+                open_ = open_pairs(tile, percent)
+                at = np.flatnonzero(open_.any(axis=0) | open_.any(axis=1))
+                out, columns, types = [tuple(tile[c][i] for c in _PLACE) for i in at], list(_PLACE), [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], columns)
+
+        for batch in rows:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+            plain = {c: v.to_pylist() for c, v in columns.items() if c not in ("values", "set")}
+            for i in range(batch.num_rows):
+                key = tuple(plain[c][i] for c in _PLACE[:3])
+                if tile["id"] and key != tuple(tile[c][0] for c in _PLACE[:3]):
+                    yield from done()
+                    tile = {c: [] for c in names}
+                for c, v in columns.items():
+                    tile[c].append(plain[c][i] if c in plain else v[i].values.to_numpy())
+        yield from done()
+
+    return batches
+
+
 class _Search:
     """Candidate pairs of classes, and their links."""
 
@@ -158,10 +246,10 @@ class _Search:
         return best.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
     def across(self, postings: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs (a, b) that share a list within the prefixes, lie in different components, and that no count rules out."""
+        """Links (a, b) that join the classes of different components which share a list within the prefixes."""
         lists = postings.filter("in_prefix").select("value", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("value")
-        lists = written(lists.join(mixed, "value"), "open-lists")
+        open_lists = lists = written(lists.join(mixed, "value"), "open-lists")
         sets = self.sets(lists.select("id").distinct())
         left = lists.groupBy("id").agg(F.first("component").alias("component"), F.array_sort(F.collect_set("value")).alias("values"))  # INDEX at most
         for _ in range(COUNTS):
@@ -172,16 +260,24 @@ class _Search:
             size = size.withColumn("largest", F.floor(F.col("common") * (100 + self.percent) / self.percent) - F.col("n"))
             last, left = left, written(size.filter(100 * F.col("largest") >= self.percent * F.col("n")).drop("common"), "open-classes")
             forget(last)
-        lists = lists.select("value", "id").join(left, "id")
-        x, y = (lists.select("value", *(F.col(c).alias(f"{c}_{i}") for c in ("id", "component", "n", "largest", "values"))) for i in "ab")
-        can = "id_a < id_b and component_a != component_b and n_a <= largest_b and n_b <= largest_a"
-        first = F.array_min(F.array_intersect("values_a", "values_b")) == F.col("value")  # a pair is made once
-        pairs = x.join(y.withColumnRenamed("value", "value_b"), F.expr(f"value = value_b and {can}") & first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        pairs = written(pairs, "open-pairs")
-        forget(left)
-        for df in (lists, sets):
+        lists = lists.select("value", "id").join(left.select("id"), "id")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        sizes = lists.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1").select("value", blocks.alias("blocks"))
+        each = lists.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.select("value", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id")
+
+        def together(rows: DataFrame) -> DataFrame:
+            tile = ("value", "first", "second")
+            return rows.repartition(*tile).sortWithinPartitions(*tile, "id")
+
+        open_ = together(each.join(left, "id")).mapInArrow(_tiles(self.percent, False), "value long, first int, second int, block int, id long")
+        open_ = written(open_, "open-places")
+        found = written(together(open_.join(left, "id").join(sets, "id")).mapInArrow(_tiles(self.percent, True), "a long, b long"), "tile-links")
+        forget(open_)
+        for df in (open_lists, left, sets):
             forget(df)
-        return pairs
+        return found
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -189,7 +285,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> D
     search = _Search(docs, classes, k, percent)
     postings = written(search.postings(), "postings")
     links = search.links(search.typical(postings))
-    return components(links.unionByName(search.links(search.across(postings, components(links)))))
+    return components(links.unionByName(search.across(postings, components(links))))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
