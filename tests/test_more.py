@@ -6,7 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import enrich, html, insert, lists, questions, resume
+from lectern import __main__ as command
+from lectern import options
+from lectern.operators import enrich, html, insert, lists, questions, requests, resume, tags
+from lectern.plans import prepare
 from lectern.sources import archive, books
 
 
@@ -177,3 +180,77 @@ def test_batch_results_of_files(spark, tmp_path):
 def test_saved_parts(spark):
     r = spark.range(1).select(questions.saved_parts(F.lit("a\n\nb"), F.lit(2)).alias("two"), questions.saved_parts(F.lit("a\n\nb"), F.lit(1)).alias("one"), questions.saved_parts(F.lit("a"), F.lit(2)).alias("merged"), questions.tagged_text(F.lit("x <s>a\nb</s>"), "s").alias("t")).first()
     assert (r["two"], r["one"], r["merged"], r["t"]) == (["a", "b"], ["a\n\nb"], ["a"], "a\nb")
+
+
+def test_tag_mode(spark):
+    pages = spark.createDataFrame([(1, "<body><p>One <sup>1</sup></p><li>a<p>b</p></li><p><code>x</code></p><p>12</p></body>"), (2, None)], "page_id long, html string")
+    units = tags.tag_units(pages, ("p", "li"), ("sup", "code"))
+    got = [(r["tag"], r["leaf"], r["text"], r["kept"]) for r in units.orderBy("ord").collect()]
+    assert got == [("p", True, "One 1", "One "), ("li", False, "ab", "ab"), ("p", True, "b", "b"), ("p", True, "x", ""), ("p", True, "12", "12")]
+    assert [r["kept"] for r in tags.translatable(units).orderBy("ord").collect()] == ["One ", "b"]
+    both = lists.all_passes(units, tags.strings(html.tokens(pages)))
+    assert both.count() == 5 + 6
+
+
+def test_a_plan_is_carried_out(spark):
+    pages = spark.createDataFrame([(1, "<body><h1>Head</h1><p>One long paragraph of text.</p><p>Two</p><div>3 / 4</div></body>")], "page_id long, html string")
+    plan = prepare.prepare(pages, spark.createDataFrame([("div", "skip")], "signature string, action string"))
+    done = spark.createDataFrame([(1, 3, "KEPT")], "page_id long, owner int, translation string")
+    assert {r["signature"] for r in plan.rows.collect()} == {"h1", "p"} and {r["reason"]: r["chars"] for r in plan.skipped.collect()} == {"user-excluded": 5}
+    owners = {r["text"]: r["owner"] for r in plan.units.collect()}
+    done = spark.createDataFrame([(1, owners["Two"], "KEPT")], "page_id long, owner int, translation string")
+    new = prepare.bilingual(pages, plan, done=done).first()["html"]
+    assert new == "<body><h1>Head</h1><h1>[offline]Head</h1><p>One long paragraph of text.</p><p>[offline]One long paragraph of text.</p><p>Two</p><p>KEPT</p><div>3 / 4</div></body>"
+    assert prepare.prepare(pages, saved=prepare.prepare(pages).fingerprint)
+    with pytest.raises(ValueError, match="another plan"):
+        prepare.prepare(pages, saved=plan.fingerprint)
+    with pytest.raises(ValueError, match="empty"):
+        prepare.prepare(pages.limit(0))
+
+
+def test_requests_and_replies():
+    prompt = {"user": "To {language}:{crlf}{text}", "system": "You know {language}."}
+    chat = requests.body("chat", "m", "hi {x}", "german", prompt, [("a", "b")], 0.5, {"name": "s"}, extra={"seed": 1})
+    assert [m["role"] for m in chat["messages"]] == ["system", "user", "assistant", "user"] and chat["messages"][-1]["content"] == "To german:\nhi {x}" and chat["seed"] == 1 and chat["response_format"]["json_schema"] == {"name": "s"}
+    assert requests.body("messages", "m", "hi", "german", prompt)["system"] == "You know german."
+    assert requests.body("contents", "m", "hi", "german", prompt, [("a", "b")])["contents"][1]["role"] == "model"
+    assert requests.body("options", "m", "hi", "German", terms={"a": "b"})["translation_options"]["terms"] == [{"source": "a", "target": "b"}]
+    assert requests.body("form", "", "hi", "de") == {"text": ["hi"], "target_lang": "DE"} and requests.body("list", "", "a\nb", "zh")["source"] == ["a", "b"]
+    assert requests.reply_text("chat", {"choices": [{"message": {"content": "x"}}]}) == "x" and requests.reply_text("messages", {"content": [{"type": "text", "text": "y"}]}) == "y"
+    assert requests.reply_text("contents", {"candidates": [{"content": {"parts": [{"text": "z"}]}}]}) == "z" and requests.reply_text("list", {"target": ["a", "b"]}) == "a\nb"
+    for wrong in ({}, {"choices": [{"finish_reason": "length", "message": {"content": "x"}}]}, {"choices": [{"message": {"refusal": "no"}}]}):
+        with pytest.raises(ValueError):
+            requests.reply_text("chat", wrong)
+
+
+def test_prompts():
+    text = "# P\n\n## Developer Message\n\nBe exact.\n\n## Conversation\n\n| Role | Content |\n|---|---|\n| User | Into {language}:\\n{text} |\n"
+    assert books.parse_prompt(text, "p.prompt.md") == {"user": "Into {language}:\n{text}", "system": "Be exact."}
+    with pytest.raises(ValueError):
+        books.parse_prompt("## Conversation\n", "p.md")
+    assert books.parse_prompt('{"user": "{text}"}', "p.txt") == {"user": '{"user": "{text}"}'}
+
+
+def test_options():
+    o = options.from_args(["--book", "a.epub", "--exclude-tags", "sup, code", "--single", "--color", "red", "--style", "margin:0;"])
+    assert o.exclude_tags == ["sup", "code"] and o.single and o.css() == "margin:0; color: red" and o.limit() is None
+    for wrong in (["--language", "klingon"], ["--start", "a"], ["--translator", "none"], ["--batch", "x"], ["--min-coverage", "2"]):
+        with pytest.raises(ValueError):
+            options.from_args(wrong)
+
+
+def test_books_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.epub").write_bytes(book())
+    (tmp_path / "b.txt").write_text("One\n\nTwo")
+    (tmp_path / "c.srt").write_text("1\nt\nOne\n\n2\nt\nTwo")
+    (tmp_path / "d.md").write_text("# One\n\nTwo\n\n```\nx\n```\n")
+    for name in ("a.epub", "b.txt", "c.srt", "d.md"):
+        command.main(["--book", str(tmp_path / name), "--out", str(tmp_path / "out"), "--min-coverage", "0.1"])
+    assert capsys.readouterr().out.count("_bilingual.") == 4
+    done = archive.package((tmp_path / "out" / "a_bilingual.epub").read_bytes())
+    assert b"<p>One</p><p>[offline]One</p>" in done.parts["OEBPS/a.xhtml"]
+    assert (tmp_path / "out" / "b_bilingual.txt").read_text() == "One\n[offline]One\n\nTwo\n[offline]Two"
+    assert (tmp_path / "out" / "c_bilingual.srt").read_text() == "1\nt\nOne\n[offline]One\n\n2\nt\nTwo\n[offline]Two"
+    assert "# One\n\n[offline]# One\n\nTwo\n\n[offline]Two\n\n```\nx\n```" in (tmp_path / "out" / "d_bilingual.md").read_text()
+    command.main(["--book", str(tmp_path / "a.epub"), "--dry-run", "--min-coverage", "0.1"])
+    assert "p: 2 units, 6 characters" in capsys.readouterr().out
