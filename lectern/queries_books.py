@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import css, enrich, markdown, subtitles
@@ -119,13 +119,51 @@ def srt_document_packs(spark, sf_dir):
     return subtitles.packs(_cues(spark, sf_dir), 300).select("doc_id", "pack", "first", "last")
 
 
-QUERIES = {f.__name__: f for f in (md_blocks, md_batches, md_breadcrumbs, srt_blocks, srt_pack, srt_bilingual, css_resolution, stream_context_state, srt_documents, srt_document_packs)}
+def srt_document_bilingual(spark, sf_dir):
+    """The subtitles of documents with translations below, by digest."""
+    out = subtitles.rendered(_cues(spark, sf_dir).withColumn("done", enrich.offline(F.col("text"))), "done")
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+
+
+def _plain_lines() -> Column:
+    """The lines of a document as words of ASCII letters alone, those without any dropped."""
+    cleaned = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z ]", ""), " +", " ")))
+    return F.filter(cleaned, lambda x: x != "")
+
+
+def md_document_blocks(spark, sf_dir):
+    """Markdown made of documents: every fifth line a heading, every fifth a fence."""
+    made = F.transform("l", lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 5 == 4, F.concat(F.lit("```\n"), x, F.lit("\n\n# no heading\n```"))).otherwise(x))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _plain_lines().alias("l")).select("doc_id", F.array_join(made, "\n\n").alias("text"))
+    return markdown.block_table(docs).select("doc_id", "block_no", "text", "translatable")
+
+
+def reply_paragraphs(spark, sf_dir):
+    """Replies to batches of the lines of documents in four shapes, taken apart again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _plain_lines().alias("l")).filter("size(l) > 0")
+    n = F.size("l")
+    marked = F.transform("l", lambda x, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), x))
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, F.array_join(marked, " ")).when(k == 1, F.array_join(F.reverse(marked), "\n")).when(k == 2, F.array_join("l", enrich.DELIMITER)).otherwise(F.array_join("l", "\n\n"))
+    taken = F.udf(enrich.extract_paragraphs, "array<string>", useArrow=True)
+    return docs.select("doc_id", F.sha2(F.array_join(taken(reply, n), "|").cast("binary"), 256).alias("paragraphs"))
+
+
+QUERIES = {f.__name__: f for f in (md_blocks, md_batches, md_breadcrumbs, srt_blocks, srt_pack, srt_bilingual, css_resolution, stream_context_state, srt_documents, srt_document_packs, srt_document_bilingual, md_document_blocks, reply_paragraphs)}
 
 _SRT_LINES = r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[A-Za-z]')) AS l FROM documents),
 cues AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS cue, trim(unnest(l), E' \t\n\f\r') AS text FROM l)
 """
 
+_PLAIN = r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))), lambda x: x <> '') AS l FROM documents)
+"""
+
 ORACLE_SQL = {
+    "srt_document_bilingual": _SRT_LINES + """SELECT doc_id, sha256(string_agg((cue + 1) || chr(10) || '00:00:0' || cue % 7 || ' --> 00:00:09' || chr(10) || text || chr(10) || '[offline]' || text, chr(10) || chr(10) ORDER BY cue)) AS text FROM cues GROUP BY doc_id""",
+    "md_document_blocks": _PLAIN
+    + """, b AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS block_no, unnest(l) AS x FROM p)
+SELECT doc_id, block_no, CASE block_no % 5 WHEN 0 THEN '## ' || x WHEN 4 THEN '```' || chr(10) || x || chr(10) || chr(10) || '# no heading' || chr(10) || '```' ELSE x END AS text, block_no % 5 <> 4 AS translatable FROM b""",
+    "reply_paragraphs": _PLAIN + "SELECT doc_id, sha256(array_to_string(l, '|')) AS paragraphs FROM p WHERE len(l) > 0",
     "srt_documents": _SRT_LINES + "SELECT doc_id, cue, CAST(cue + 1 AS VARCHAR) AS number, '00:00:0' || cue % 7 || ' --> 00:00:09' AS time, text FROM cues",
     "srt_document_packs": _SRT_LINES
     + """, t AS (SELECT doc_id, cue, length(CAST(cue + 1 AS VARCHAR)) + 1 + length(text) AS n FROM cues),
