@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import scratch
+
 # Verse is runs of at least so many short units, in windows of so many.
 VERSE_RUN, VERSE_MEDIAN, STANZA, HEAD_SHARE = 3, 70, 8, 0.4
 # A chat history above the first number is cut to the second.
@@ -102,11 +104,28 @@ def history_sizes(n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i <= HISTORY_FULL, i).otherwise(HISTORY_KEPT + (i - HISTORY_FULL - 1) % period))
 
 
+def ordinals(rows: DataFrame, by: str, order: str, **counted: str) -> DataFrame:
+    """rows with at (the ordinal within `by`) and, by name, how many rows before have a boolean column that is true.
+
+    Rows are dealt out by ranges of (by, order) and written, so a key with many rows spreads over tasks; what a range
+    begins with comes from the counts of the ranges before it.
+    """
+    path = scratch(rows.sparkSession, "ordinals")
+    rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
+    names = {"at": F.lit(1)} | {k: F.when(F.col(c), 1).otherwise(0) for k, c in counted.items()}
+    sums = ranged.groupBy(by, "_range").agg(*(F.sum(v).alias(f"_{k}") for k, v in names.items()))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    bases = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in names))
+    here = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({k: F.coalesce(F.sum(v).over(here), F.lit(0)) for k, v in names.items()})
+    out = out.join(bases, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in names}).drop("_by", "_of", "_range", *(f"_{k}" for k in names))
+
+
 def lookback(items: DataFrame, by: str, order: str, long: Column, n: int = 3, every: int = 50) -> DataFrame:
     """items with at (ordinal) and seen: the `n` nearest long items before the last refresh, nearest first; none if there are fewer."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = items.withColumn("at", F.row_number().over(w) - 1).withColumn("is_long", long)
-    rows = rows.withColumn("long_before", F.coalesce(F.sum(F.col("is_long").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = ordinals(items.withColumn("is_long", long), by, order, long_before="is_long")
     longs = rows.filter("is_long").select(F.col(by).alias("k"), F.col("long_before").alias("rank"), F.col(order).alias("item"))
     points = rows.filter(F.col("at") % every == 0).select(F.col(by).alias("k"), F.col("at").alias("refresh"), F.explode(F.sequence(F.col("long_before") - n, F.col("long_before") - 1)).alias("rank"))
     seen = points.join(longs, ["k", "rank"]).groupBy("k", "refresh").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item")), False), lambda x: x["item"]).alias("seen")).filter(F.size("seen") == n)
