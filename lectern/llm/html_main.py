@@ -2,14 +2,16 @@
 
 1. A page is parsed into blocks of text. Blocks inside navigation, forms, adverts and the like are
    dropped by their markup.
-2. Pages of a host are ordered by URL path, so that the nearest pages share the longest part of
+2. Pages of a host with the same blocks count once. They are ordered by URL path, so that the nearest pages share the longest part of
    their address and most likely their template.
 3. The blocks of every page are aligned with those of its nearest pages by the longest common
    subsequence, and the shared ones are deleted. A neighbour that shares most of a page's
    text is a copy of it, not a page of the same template, and the next nearest is taken.
-4. Blocks inside a marked article are guarded: a sentence that two articles have in common is not a
-   template. They are deleted only if more than TEMPLATE_SHARE of the host's pages, and at least
-   TEMPLATE_PAGES, have them. Pages that are equal count once.
+4. A page amid many near copies, or one that is little more than its template, may find no neighbour that is not taken for a
+   copy. So blocks that stand on more than TEMPLATE_SHARE of a host's pages, and at least TEMPLATE_PAGES, are deleted too, where
+   pages with the same longest block count as one, as near copies have it, and so do pages whose longest is the template's.
+5. Blocks inside a marked article are guarded: a sentence that two articles have in common is not a
+   template. They are deleted only if both alignment and these counts say so.
 
 Only hashes of blocks are ordered and aligned; the texts are parsed again and meet what is deleted at the end.
 """
@@ -41,8 +43,8 @@ JUNK = frozenset(
 EDGES = frozenset({"header", "footer"})
 CONTENT = frozenset("article post entry content story body main".split())
 #: A neighbour that shares more of a page's characters is its copy; neighbours looked at to each side, and used.
-COPY_SHARE, LOOKED_AT, USED = 0.6, 2, 2
-#: A block of an article is a template if a larger share of the host's pages have it, and so many of them.
+COPY_SHARE, LOOKED_AT, USED = 0.6, 4, 2
+#: A block is a template by counts if a larger share of the host's pages have it, and so many of them.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 4
 
 
@@ -160,70 +162,76 @@ def url_order(url: str | None) -> tuple[str, str]:
     return host.lower(), path.rstrip("/")
 
 
-_PARSED = "key binary, page_id long, url string, host string, path string, hashes array<long>, sizes array<int>, guarded array<boolean>"
+_PARSED = "kind binary, page_id long, url string, host string, path string, hashes array<long>, sizes array<int>, guarded array<boolean>"
 
 
-def _key(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """The same for rows that are equal."""
-    return xxhash.xxh3_128_digest(repr((page_id, url, html)).encode("utf-8", "surrogatepass"))
-
-
-def _pages(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str | None, str | None]]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2)))
+def _page(url: str | None, html: str | None) -> tuple[bytes, str, str, list[int], list[tuple[str, bool]]]:
+    """kind (the same for pages of a host with the same blocks), host, path, hashes of the blocks, blocks."""
+    host, path = url_order(url)
+    found = blocks(html)
+    hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in found]
+    kind = xxhash.xxh3_128_digest(repr((host, hashes, [g for _, g in found])).encode("utf-8", "surrogatepass"))
+    return kind, host, path, hashes, found
 
 
 def _parsed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            out = {"key": [], "page_id": part.column(0), "url": part.column(1), "host": [], "path": [], "hashes": [], "sizes": [], "guarded": []}
-            for page_id, url, html in _pages(part):
-                host, path = url_order(url)
-                found = blocks(html)
-                hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for t, _ in found]
-                values = (_key(page_id, url, html), host, path, hashes, [len(t) for t, _ in found], [g for _, g in found])
-                for c, v in zip(("key", "host", "path", "hashes", "sizes", "guarded"), values):
+            out: dict[str, list] = {c: [] for c in ("kind", "host", "path", "hashes", "sizes", "guarded")}
+            for url, html in zip(part.column(1).to_pylist(), part.column(2)):
+                kind, host, path, hashes, found = _page(url, html.as_py())
+                for c, v in zip(out, (kind, host, path, hashes, [len(t) for t, _ in found], [g for _, g in found])):
                     out[c].append(v)
-            types = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+            types = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+            kind, *rest = (pa.array(v, t) for v, t in zip(out.values(), types))
+            yield pa.RecordBatch.from_arrays([kind, part.column(0), part.column(1), *rest], ["kind", "page_id", "url", *list(out)[1:]])
 
 
 def _lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
-            keys, lines = [], []
-            for page_id, url, html in _pages(part):
-                keys.append(_key(page_id, url, html))
-                lines.append([t for t, _ in blocks(html)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string()))], ["key", "page_id", "url", "lines"])
+            kinds, lines = [], []
+            for url, html in zip(part.column(1).to_pylist(), part.column(2)):
+                kind, *_, found = _page(url, html.as_py())
+                kinds.append(kind)
+                lines.append([t for t, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.binary()), part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string()))], ["kind", "page_id", "url", "lines"])
 
 
 def _differenced(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, host, line, h, guarded of the lines that a page's nearest pages share."""
+    """kind, host, line, h, guarded of the lines that a page's nearest pages share."""
     for batch in rows:
-        out: dict[str, list] = {c: [] for c in ("key", "host", "line", "h", "guarded")}
-        for row in batch.select(["key", "host", "hashes", "sizes", "guarded", "near"]).to_pylist():
+        out: dict[str, list] = {c: [] for c in ("kind", "host", "line", "h", "guarded")}
+        for row in batch.select(["kind", "host", "hashes", "sizes", "guarded", "near"]).to_pylist():
             near = [x for x in row["near"] if x is not None]
             for i in shared_lines(row["hashes"], row["sizes"], near):
-                for c, v in zip(out, (row["key"], row["host"], i, row["hashes"][i], row["guarded"][i])):
+                for c, v in zip(out, (row["kind"], row["host"], i, row["hashes"][i], row["guarded"][i])):
                     out[c].append(v)
         types = (pa.binary(), pa.string(), pa.int32(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
 
-def nearest(parsed: DataFrame) -> DataFrame:
-    """parsed with near: the line hashes of the nearest pages of the same host by path, nearest first, null where there is none.
+def nearest(kinds: DataFrame) -> DataFrame:
+    """kinds with near: the line hashes of the nearest pages of the same host by path, nearest first, null where there is none.
 
     Pages are dealt out by ranges of (host, path), so a large host spreads over many tasks; the
-    first and last pages of a range are also given to the ranges next to it.
+    first and last pages of a range are also given to the LOOKED_AT ranges that have pages on either side, which is as
+    far as a neighbour can be.
     """
     order = ["host", "path", "page_id", "url"]
-    ranged = written(parsed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "page-ranges")
+    ranged = kinds.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = written(ranged, "page-ranges")
+    dense = ranged.select("part").distinct().withColumn("range", F.row_number().over(Window.orderBy("part")))  # a row a partition
+    ranged = ranged.join(F.broadcast(dense), "part").drop("part")
     within = Window.partitionBy("range").orderBy(*order)
     back = Window.partitionBy("range").orderBy(*(F.col(c).desc() for c in order))
-    edges = ranged.select("host", "path", "page_id", "url", "hashes", "range", F.row_number().over(within).alias("nth"), F.row_number().over(back).alias("last"))
-    halo = edges.filter(F.col("nth") <= LOOKED_AT).withColumn("range", F.col("range") - 1).unionByName(edges.filter(F.col("last") <= LOOKED_AT).withColumn("range", F.col("range") + 1))
+    edges = ranged.select(*order, "hashes", "range", F.row_number().over(within).alias("nth"), F.row_number().over(back).alias("last"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(LOOKED_AT))).alias("step")
+    up = edges.filter(F.col("nth") <= LOOKED_AT).select("*", steps).withColumn("range", F.col("range") - F.col("step"))
+    down = edges.filter(F.col("last") <= LOOKED_AT).select("*", steps).withColumn("range", F.col("range") + F.col("step"))
+    halo = up.unionByName(down).drop("nth", "last", "step")
     every = ranged.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True)), allowMissingColumns=True)
     near = []
     for step in range(1, LOOKED_AT + 1):
@@ -232,11 +240,13 @@ def nearest(parsed: DataFrame) -> DataFrame:
     return every.withColumn("near", F.array(*near)).filter("not halo").drop("halo", "range")
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """host, h of the blocks that so many pages of a host have that they are no part of an article."""
-    kinds = parsed.select("host", F.array_distinct("hashes").alias("hashes")).distinct()
-    pages = kinds.groupBy("host").agg(F.count("*").alias("pages"))
-    having = kinds.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+def templates(kinds: DataFrame) -> DataFrame:
+    """host, h of the blocks that stand on so many pages of a host that they are a template; near copies, which have their longest block in common, count once."""
+    longest = F.max(F.struct("size", "h"))["h"]
+    each = kinds.select("kind", "host", F.explode(F.arrays_zip("hashes", "sizes")).alias("b")).select("kind", "host", F.col("b.hashes").alias("h"), F.col("b.sizes").alias("size"))
+    core = each.groupBy("kind", "host").agg(longest.alias("core"))
+    pages = core.select("host", "core").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    having = each.join(core, ["kind", "host"]).select("host", "h", "core").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
     return having.join(pages, "host").filter(F.col("n") > TEMPLATE_SHARE * F.col("pages")).select("host", "h")
 
 
@@ -248,12 +258,17 @@ def main_text(pages: DataFrame) -> DataFrame:
     Rows that repeat a page get equal texts. An empty table gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    # equal rows are one page
-    parsed = written(pages.mapInArrow(_parsed, _PARSED).dropDuplicates(["key"]), "page-blocks")
-    shared = written(nearest(parsed).mapInArrow(_differenced, "key binary, host string, line int, h long, guarded boolean"), "page-shared")
-    sure = shared.filter("not guarded").select("key", "line")
-    guarded = shared.filter("guarded").join(templates(parsed), ["host", "h"]).select("key", "line")
-    gone = sure.unionByName(guarded).groupBy("key").agg(F.collect_list("line").alias("gone"))
-    out = pages.mapInArrow(_lines, "key binary, page_id long, url string, lines array<string>").join(gone, "key", "left")
+    parsed = pages.mapInArrow(_parsed, _PARSED)
+    first = F.min(F.struct("host", "path", "page_id", "url")).alias("at")
+    same = {c: F.first(c).alias(c) for c in ("hashes", "sizes", "guarded")}  # a kind has one of each
+    kinds = written(parsed.groupBy("kind").agg(first, *same.values()).select("kind", "at.*", *same), "page-kinds")
+    shared = written(nearest(kinds).mapInArrow(_differenced, "kind binary, host string, line int, h long, guarded boolean"), "page-shared")
+    counted = written(templates(kinds), "page-templates")
+    sure = shared.filter("not guarded").select("kind", "line")
+    guarded = shared.filter("guarded").join(counted, ["host", "h"]).select("kind", "line")
+    open_ = kinds.select("kind", "host", F.posexplode(F.arrays_zip("hashes", "guarded")).alias("line", "b")).filter("not b.guarded")
+    often = open_.select("kind", "host", "line", F.col("b.hashes").alias("h")).join(counted, ["host", "h"]).select("kind", "line")
+    gone = sure.unionByName(guarded).unionByName(often).groupBy("kind").agg(F.collect_set("line").alias("gone"))  # a page's lines
+    out = pages.mapInArrow(_lines, "kind binary, page_id long, url string, lines array<string>").join(gone, "kind", "left")
     kept = F.filter("lines", lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     return out.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
