@@ -42,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lectern.llm.common import fresh, let
+from lectern.llm.common import forget, fresh, let, written
 
-#: Distinct words of a block; characters of text between two hand-overs.
-BLOCK_WORDS, HAND_OVER = 400_000, 2_000_000
+#: New words of a block; characters of text between two hand-overs; pieces between white space whose word numbers are kept.
+BLOCK_WORDS, HAND_OVER, KEPT_UNITS = 250_000, 2_000_000, 150_000
 #: Characters of the sample whose words are folded beforehand, and such words at most.
-SAMPLE_CHARS, KNOWN_WORDS = 32_000_000, 400_000
+SAMPLE_CHARS, KNOWN_WORDS = 32_000_000, 300_000
+#: Files that the known words are dealt into, and so tasks that fold them.
+FOLD_TASKS = 16
 #: A longer word has its merges found with a heap in the second pass: the fold copies its arrays at every merge.
 LONG_WORD = 1_024
 #: White space as the tokenizer's pattern means it (Unicode's White_Space).
@@ -211,19 +213,28 @@ def _word_counts(pattern: str):
     return batches
 
 
-def _known_words(texts: DataFrame, path: str, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The most frequent words of a sample of the table's texts (one column), the ends of their ids, and the ids."""
+def _known_words(texts: DataFrame, path: str, pattern: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words of a sample of the table's texts (one column), one after the other, their ends, the ends of their ids, and the ids."""
     name = texts.columns[0]
     chars = texts.agg(F.sum(F.length(name))).first()[0] or 0
     some = texts.filter(F.pmod(F.xxhash64(name), F.lit(1_000_000)) < min(1.0, SAMPLE_CHARS / max(chars, 1)) * 1_000_000)
     words = some.mapInArrow(_word_counts(pattern), "word array<int>, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = words.orderBy(F.col("n").desc(), "word").limit(KNOWN_WORDS).select("word", fold(F.col("word"), path).alias("ids"))
-    found = words.toArrow().combine_chunks()
-    ids = found.column("ids").combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    known = [bytes(w).decode("utf-8", "surrogatepass") for w in found.column("word").to_pylist()]
-    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype("<i8") if len(ids) else np.empty(0, dtype="<i8")
-    return known, np.cumsum(sizes), (ids.flatten().to_numpy(zero_copy_only=False).astype("<i4") if len(ids) else np.empty(0, dtype="<i4"))
+    words = words.orderBy(F.col("n").desc(), "word").limit(KNOWN_WORDS).select("word")
+    # written first: every plan that adaptive execution notes down would spell out the literals of the fold
+    words = written(words.repartition(FOLD_TASKS), "known-words")
+    found = words.select("word", fold(F.col("word"), path).alias("ids")).toArrow()
+    forget(words)
+
+    def flat(name: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+        """The values of a column of lists, one after the other, and the ends of the lists."""
+        chunks = [c for c in found.column(name).chunks if len(c)]
+        values = [c.flatten().to_numpy(zero_copy_only=False).astype(dtype) for c in chunks]
+        sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks]
+        return np.concatenate([np.empty(0, dtype=dtype), *values]), np.cumsum(np.concatenate([np.empty(0, dtype="<i8"), *sizes]))
+
+    raw, word_ends = flat("word", "u1")
+    ids, ends = flat("ids", "<i4")
+    return raw.tobytes(), word_ends.astype("<i8"), ends.astype("<i8"), ids
 
 
 def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema, known: Broadcast):
@@ -233,7 +244,8 @@ def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema, known: Broa
     simple = re.compile(" ?(?:[A-Za-z]|[\xc0-\xd6]|[\xd8-\xf6]|[\xf8-\xff])+").fullmatch if pattern == public_tokenizers.PATTERN else lambda _: None
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_in, known_numbers = _splitter(pattern).findall, {w: i for i, w in enumerate(known.value[0])}
+        words_in, (raw, ends, _, _) = _splitter(pattern).findall, known.value
+        known_numbers = {raw[a:b].decode("utf-8", "surrogatepass"): i for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist()))}
 
         class Units(dict):
             """Word numbers, as bytes, of each unit; takes note of words neither known nor yet seen in the block."""
@@ -249,6 +261,8 @@ def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema, known: Broa
                         n = numbers[w] = len(numbers)
                         self.new.append(w.encode("utf-8", "surrogatepass"))
                     found.append(n)
+                if len(self) >= KEPT_UNITS:
+                    self.clear()
                 self[key] = out = found.tobytes()
                 return out
 
@@ -290,7 +304,7 @@ def _split(keep: pa.Schema, text: str, pattern: str, out: pa.Schema, known: Broa
 def _joined(keep: pa.Schema, path_merges, out: pa.Schema, known: Broadcast):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte_ids, get_merges = path_merges
-        _, known_ends, known_ids = known.value
+        _, _, known_ends, known_ids = known.value
         pool, ends = np.concatenate([known_ids, np.empty(1 << 16, dtype="<i4")]), np.concatenate([[0], known_ends, np.zeros(1 << 12, dtype="<i8")])  # ends[i + 1]: end of word i's ids
         fill, words = len(known_ids), len(known_ends)
 
