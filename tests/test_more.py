@@ -177,6 +177,23 @@ def test_batch_results_of_files(spark, tmp_path):
     assert got == {"a": ("hi", None), "b": (None, "cut off")}
 
 
+def test_parts_of_a_reply_keep_their_digits(spark, tmp_path):
+    import duckdb
+
+    from lectern import queries_more
+
+    many = [f"{i}a{i}" for i in range(12)] + ["\u00a0x\u3000", " y\t", "2 \r", "\u2003"]
+    texts = ["\n".join(many), "0\n1 b 1\n2", " \u00a00 ", "a\n\n \n1", "", " ", None, "x@@y\n1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = docs.filter("doc_id = 0").select(questions.split_reply(questions.batch_prompt(F.split("text", "\n")), F.lit(len(many)))).first()[0]
+    assert back == [*many[:12], "x", "y\t", "2 \r", ""]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = sorted(db.execute(queries_more.ORACLE_SQL["delimiter_batches"]).fetchall())
+    assert sorted(map(tuple, queries_more.delimiter_batches(spark, str(tmp_path)).collect())) == wanted and len(wanted) == 4
+
+
 def test_saved_parts(spark):
     r = spark.range(1).select(questions.saved_parts(F.lit("a\n\nb"), F.lit(2)).alias("two"), questions.saved_parts(F.lit("a\n\nb"), F.lit(1)).alias("one"), questions.saved_parts(F.lit("a"), F.lit(2)).alias("merged"), questions.tagged_text(F.lit("x <s>a\nb</s>"), "s").alias("t")).first()
     assert (r["two"], r["one"], r["merged"], r["t"]) == (["a", "b"], ["a\n\nb"], ["a"], "a\nb")
