@@ -10,7 +10,7 @@ Then encoding goes per partition and without a shuffle:
    distinct word (a match of the pattern) of the block that is not known yet once, as an array of bytes, and
    after those the document as a list of word numbers.
 2. Spark folds the ranked merges over the byte array of each distinct word with
-   higher-order functions. The rank map is a literal: one array of ranks and one of the place at which
+   higher-order functions. The rank map is a constant: one array of ranks and one of the place at which
    the row of each left id begins in it.
 3. A second streaming pass in the same stage puts the ids of the words together again.
 
@@ -18,7 +18,10 @@ A block ends when it has BLOCK_WORDS distinct words, so memory is bounded whatev
 of a partition. Both passes keep the order of rows within a partition and nothing between
 them moves rows, so a lost executor only repeats its own partitions.
 
-Decoding looks the ids up in a literal array of byte pieces and concatenates them.
+Decoding looks the ids up in a constant array of byte pieces and concatenates them.
+
+Constants are scalar subqueries over rows of the driver. The driver keeps the text of every plan that has run, in several
+copies, and a literal of this size would be spelt out in each.
 """
 
 from __future__ import annotations
@@ -112,8 +115,18 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _with_constants(df: DataFrame, **arrays: pa.Array) -> DataFrame:
+    """df with a column for each array, which is the same in all rows.
+
+    Whoever uses such a column once, in the next projection, gets the subquery put there by the optimizer, so no row
+    holds the array; a higher-order function takes no subquery directly.
+    """
+    one = df.sparkSession.createDataFrame(pa.table({k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in arrays.items()}))
+    return df.select("*", *(one.select(k).scalar().alias(k) for k in arrays))
+
+
 @cache
-def _rank_map(path: str) -> tuple[list[int], list[int], int]:
+def _rank_map(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     """base, table, bits: table[base[left] + right] ^ (left << bits) is the rank of a pair of ids that merges.
 
     For any other pair that number has more than `bits` bits. Each left id has a row of right ids; the rows are
@@ -127,7 +140,7 @@ def _rank_map(path: str) -> tuple[list[int], list[int], int]:
     rows: dict[int, list[tuple[int, int]]] = {}
     for (left, right), rank in merges.items():
         rows.setdefault(left, []).append((right, rank))
-    free, table, base, top, first = np.ones(len(merges) + 4 * n, dtype=bool), np.full(len(merges) + 4 * n, n << bits, dtype=np.int64), [0] * n, 0, 0
+    free, table, base, top, first = np.ones(len(merges) + 4 * n, dtype=bool), np.full(len(merges) + 4 * n, n << bits, dtype=np.int64), np.zeros(n, dtype=np.int64), 0, 0
     for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         rights = np.array([right for right, _ in row])
         least = rights.min()
@@ -143,11 +156,11 @@ def _rank_map(path: str) -> tuple[list[int], list[int], int]:
         free[at + rights] = False
         table[at + rights] = [left << bits | rank for _, rank in row]
         top = max(top, at)
-    return base, table[: top + n].tolist(), bits
+    return base, table[: top + n].copy(), bits
 
 
-def fold(word: Column, path: str) -> Column:
-    """The ids of a word given as an array of byte values: the ranked merges as a fold.
+def fold(words: DataFrame, path: str, *keep: str) -> DataFrame:
+    """The columns `keep` of words, and ids: those of its column word, an array of byte values, or null; the ranked merges as a fold.
 
     The state has, for each token, the rank of its pair with the next one and its own id in one number,
     so that the least number is the pair to join, the leftmost of equals first. Every step joins it
@@ -155,6 +168,7 @@ def fold(word: Column, path: str) -> Column:
     """
     ranks, _ = _vocabulary(path)
     base, table, bits = _rank_map(path)
+    words = _with_constants(words.select(*keep, F.col("word").alias("bytes_of_word")), rank_table=pa.array(table), rank_base=pa.array(base))
     ids_of, none = (1 << bits) - 1, 1 << 2 * bits  # none: above the number of every pair that merges
     byte_ids = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
@@ -182,10 +196,11 @@ def fold(word: Column, path: str) -> Column:
             start = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), lambda left, right: F.coalesce(paired(left, right), last(left)))
             return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids) - 1), start, step), lambda x: x.bitwiseAND(ids_of).cast("int"))
 
-        return let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda ids: F.when(F.size(ids) > 1, run(ids)).otherwise(ids.cast("array<int>")))
+        return let(F.transform("bytes_of_word", lambda b: F.get(byte_ids, b)), lambda ids: F.when(F.size(ids) > 1, run(ids)).otherwise(ids.cast("array<int>")))
 
-    # each literal is in the plan once
-    return let(_literal(table, "array<bigint>"), lambda t: let(_literal(base, "array<bigint>"), lambda b: folded(t, b)))
+    # each constant is in the plan once
+    ids = let(F.col("rank_table"), lambda t: let(F.col("rank_base"), lambda b: folded(t, b)))
+    return words.select(*keep, F.when(F.col("bytes_of_word").isNotNull(), ids).alias("ids"))
 
 
 def _splitter(pattern: str):
@@ -220,9 +235,8 @@ def _known_words(texts: DataFrame, path: str, pattern: str) -> tuple[bytes, np.n
     some = texts.filter(F.pmod(F.xxhash64(name), F.lit(1_000_000)) < min(1.0, SAMPLE_CHARS / max(chars, 1)) * 1_000_000)
     words = some.mapInArrow(_word_counts(pattern), "word array<int>, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = words.orderBy(F.col("n").desc(), "word").limit(KNOWN_WORDS).select("word")
-    # written first: every plan that adaptive execution notes down would spell out the literals of the fold
     words = written(words.repartition(FOLD_TASKS), "known-words")
-    found = words.select("word", fold(F.col("word"), path).alias("ids")).toArrow()
+    found = fold(words, path, "word").toArrow()
     forget(words)
 
     def flat(name: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -371,29 +385,38 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
     spark = docs.sparkSession.sparkContext
     known = spark.broadcast(_known_words(plain.select("text"), path, pattern))  # KNOWN_WORDS at most
     split = plain.mapInArrow(_split(arrow, "text", pattern, mid_arrow, known), mid)
-    folded = split.select(*names.values(), F.when(F.col("word").isNotNull(), fold(F.col("word"), path)).alias("ids"), "stream", "kind", "starts")
+    folded = fold(split, path, *names.values(), "stream", "kind", "starts")
     byte_ids = [ranks[bytes([b])] for b in range(256)]
     merges = spark.broadcast(_vocabulary(path)[1])  # as large as the vocabulary
     done = folded.mapInArrow(_joined(arrow, (byte_ids, lambda: merges.value), end_arrow, known), end)
     return done.select(*(F.col(k).alias(c) for c, k in names.items()), F.col("ids").alias(ids))
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids: the pieces of a literal array, concatenated; null for null."""
+@cache
+def _pieces(path: str) -> list[str]:
+    """The bytes of each id in hexadecimal."""
     ranks, _ = _vocabulary(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    table = _literal(pieces, "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+    return pieces
+
+
+def _decoded(ids: Column, pieces: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+
+
+def decode(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids: the pieces of a literal array, concatenated; null for null."""
+    return _decoded(ids, _literal(_pieces(path), "array<string>"))
 
 
 def digests(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids") -> DataFrame:
     """The columns `keep`, n_tokens, and SHA-256 of the ids in decimal and of the decoded bytes."""
-    of = F.col(ids)
-    return encoded.select(
+    of, pieces = F.col(ids), fresh(encoded, "pieces")
+    return _with_constants(encoded, **{pieces: pa.array(_pieces(path))}).select(
         *keep,
         F.size(of).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(of.cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(of, path), 256).alias("decoded_sha256"),
+        F.sha2(_decoded(of, F.col(pieces)), 256).alias("decoded_sha256"),
     )

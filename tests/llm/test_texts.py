@@ -36,6 +36,24 @@ def test_byte_bpe(spark):
     assert bpe.encode(table(spark).limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_plans_do_not_spell_out_the_vocabulary(spark):
+    """The driver keeps the text of each plan that has run."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    docs = table(spark).withColumn("pieces", F.lit(1))
+    out = bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), path, ["doc_id", "pieces"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000 and " AS rank_" not in plan and " AS _pieces" not in plan  # no row holds a constant
+    got = {r["doc_id"]: (r["pieces"], r["n_tokens"], r["decoded_sha256"]) for r in out.collect()}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    assert got == {i: (1, len(plain.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(ODD)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = store.executionsList()
+    texts = [found.apply(k).physicalPlanDescription() for k in range(before, found.size())]
+    assert texts and max(map(len, texts)) < 50_000
+
+
 def test_blocks_start_afresh(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 2)
     monkeypatch.setattr(bpe, "HAND_OVER", 1)
